@@ -40,7 +40,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training(spark: SparkSession, sf_dir: str) -> TrainingData:
     def make():
-        return prepare_training(load_dataset(movies(spark, sf_dir), spread(corpus(spark, sf_dir))))
+        return prepare_training(load_dataset(movies(spark, sf_dir), corpus(spark, sf_dir)))
 
     return _once(spark, sf_dir, "training", make)
 

@@ -4,23 +4,26 @@ A reference can name its file in eleven ways: six spellings of the whole
 reference (positions 0-5) and five of its first number (positions 6-10). The
 first candidate that exists wins.
 
-Spark-side this is two equi-joins on file names:
+Spark-side the metadata flows once through two equi-joins on file names:
 
-* the spellings are exploded per distinct reference (three rows, six if it has
-  spaces) and joined with the file listing;
+* each row is exploded into its spellings (three, six if it has spaces), joined
+  with the file listing, and gathered again by row key with the best hit;
 * numbered files are reduced to the best file per number, and joined on the
-  number, so a popular number is one row on the file side. References without a
-  number get a key of their own that cannot match, which spreads them evenly.
+  number, so a popular number is one row on the file side. Rows without a number
+  get a key of their own that cannot match, which spreads them evenly.
 
 Only names travel through these joins; document text is joined later.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.coerce import strip
+from scriptorium.schema import ORDER_COLUMNS
 
 # --- fixed values: file-name spellings by position ---------------------------
 LITERAL_SUFFIXES = {0: "", 1: ".txt", 5: ".txt.txt"}
@@ -69,25 +72,25 @@ def best_numbered_files(listing: DataFrame) -> DataFrame:
     return numbered.groupBy("_number").agg(F.min("_file").alias("_by_number"))
 
 
-def best_literal_files(refs: DataFrame, listing: DataFrame) -> DataFrame:
-    """Per reference, the existing file whose whole-reference spelling comes first."""
-    candidates = refs.select("_ref", F.explode(literal_candidates(F.col("_ref"))).alias("_c"))
-    candidates = candidates.select("_ref", F.col("_c.position").alias("position"), F.col("_c.file_name").alias("file_name"))
-    hits = candidates.join(listing.select("file_name"), "file_name", "inner")
-    return hits.groupBy("_ref").agg(F.min(F.struct("position", "file_name")).alias("_by_name"))
-
-
-def resolve_script_files(movies: DataFrame, listing: DataFrame, ref: str = "script_file") -> DataFrame:
-    """Add ``file_name`` and ``candidate_position`` to every row; NULL if no file exists."""
-    movies = movies.withColumn("_ref", strip(F.col(ref)))
-    refs = movies.select("_ref").where(F.length("_ref") > 0).distinct()
-    by_name = best_literal_files(refs, listing)
-    resolved = refs.join(by_name, "_ref", "left").withColumn(
-        "_number", F.coalesce(first_number(F.col("_ref")), F.concat(F.lit("no number: "), F.col("_ref")))
-    )
-    resolved = resolved.join(best_numbered_files(listing), "_number", "left")
-    hit = F.coalesce("_by_name", "_by_number")
-    resolved = resolved.select(
-        "_ref", hit["file_name"].alias("file_name"), hit["position"].alias("candidate_position")
+def resolve_script_files(
+    movies: DataFrame, listing: DataFrame, ref: str = "script_file", key: Sequence[str] = ORDER_COLUMNS
+) -> DataFrame:
+    """Add ``file_name`` and ``candidate_position`` to every row; NULL if no file exists.
+
+    ``key`` identifies a row.
+    """
+    kept = [c for c in movies.columns if c not in key]
+    named = movies.withColumn("_ref", F.nullif(strip(F.col(ref)), F.lit("")))
+    spelled = named.withColumn("_candidate", F.explode_outer(literal_candidates(F.col("_ref"))))
+    spelled = spelled.withColumn("_name", F.col("_candidate.file_name"))
+    files = listing.select(F.col("file_name").alias("_file"))
+    tried = spelled.join(files, F.col("_name") == F.col("_file"), "left")
+    hit = F.when(F.col("_file").isNotNull(), F.col("_candidate"))
+    gathered = tried.groupBy(*key).agg(
+        F.min(hit).alias("_by_name"), F.any_value(F.struct("_ref", *kept)).alias("_row")
     )
-    return movies.join(resolved, "_ref", "left").drop("_ref")
+    number = F.coalesce(first_number(F.col("_row._ref")), F.concat_ws(":", F.lit("none"), *key))
+    numbered = gathered.withColumn("_number", number).join(best_numbered_files(listing), "_number", "left")
+    best = F.coalesce("_by_name", "_by_number")
+    rows = [F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in movies.columns]
+    return numbered.select(*rows, best["file_name"].alias("file_name"), best["position"].alias("candidate_position"))

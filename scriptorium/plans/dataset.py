@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.coerce import to_decade, to_length, to_name, to_rating, to_year
+from scriptorium.functions.coerce import to_decade, to_length, to_name, to_rating, to_script_ref, to_year
 from scriptorium.functions.text import clean_text, text_features
 from scriptorium.operators.dedup import keep_first, keep_last
-from scriptorium.operators.gates import filter_valid_rating, with_outcome
+from scriptorium.operators.gates import filter_min_length, filter_valid_rating, with_outcome
 from scriptorium.operators.resolve import resolve_script_files
-from scriptorium.operators.tfidf import with_terms
-from scriptorium.functions.coerce import to_script_ref
-from scriptorium.schema import DEFAULTS, TEXT_FEATURES, Settings
+from scriptorium.schema import DEFAULTS, Settings
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -24,11 +22,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def document_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace raw text by its sixteen features and its terms. Narrow."""
-    featured = text_features(docs, text)
-    cleaned = featured.withColumn("clean", clean_text(F.col(text))).drop(text)
-    return with_terms(cleaned).drop("clean")
+def cleaned_features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Replace raw text by its sixteen features and its cleaned form. Narrow."""
+    return text_features(docs, text).withColumn("clean", clean_text(F.col(text))).drop(text)
 
 
 def typed_metadata(movies: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -46,18 +42,19 @@ def typed_metadata(movies: DataFrame, settings: Settings = DEFAULTS) -> DataFram
 
 
 def load_dataset(movies: DataFrame, corpus: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per document that passes every gate: metadata, features and terms.
+    """One row per document that passes every gate: metadata, features, cleaned text.
 
     Metadata is deduplicated, then gated, then matched to file names, and meets
-    the documents last. Documents are measured and tokenized in the corpus scan,
-    so each file is processed once, and raw text never enters a shuffle.
+    the documents last. Documents are measured and cleaned in the corpus scan,
+    so each file is processed once. Terms are derived after the join: the cleaned
+    text is a third of their size.
     """
     unique = keep_first(movies).withColumn("rating", to_rating(F.col("rating")))
     rated = filter_valid_rating(unique)
     matched = resolve_script_files(rated, corpus.select("file_name"))
     metadata = typed_metadata(matched.where(F.col("file_name").isNotNull()), settings)
-    long_enough = corpus.select("file_name", "text").where(F.length("text") >= settings.min_chars)
-    return metadata.join(document_features(long_enough), "file_name", "inner")
+    documents = filter_min_length(spread(corpus.select("file_name", "text")), settings=settings)
+    return metadata.join(cleaned_features(documents), "file_name", "inner")
 
 
 def label_dataset(movies: DataFrame, corpus: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -93,8 +90,3 @@ def with_scoring_defaults(df: DataFrame, settings: Settings = DEFAULTS) -> DataF
         {c: F.coalesce(F.col(c), d) if c in df.columns else d for c, d in defaults.items()}
     )
 
-
-__all__ = [
-    "TEXT_FEATURES", "spread", "document_features", "typed_metadata", "load_dataset", "label_dataset",
-    "metadata_by_file", "lookup_metadata", "with_scoring_defaults",
-]

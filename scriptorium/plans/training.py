@@ -15,7 +15,7 @@ from scriptorium.functions.rating import clip_rating
 from scriptorium.operators.evaluate import best_model, regression_metrics
 from scriptorium.operators.scale import Scaler, decade_codes, encode_decades, fit_scaler
 from scriptorium.operators.split import exact_train_test_split, train_test_split
-from scriptorium.operators.tfidf import TfidfModel, fit_tfidf
+from scriptorium.operators.tfidf import TfidfModel, fit_tfidf, with_terms
 from scriptorium.operators.weights import sample_weights
 from scriptorium.plans.models import MODEL_ORDER, REFERENCE_CONFIG, ModelConfig, estimator, label_stats
 from scriptorium.schema import DEFAULTS, NUMERIC_FEATURES, Settings
@@ -34,14 +34,15 @@ class Featurizer:
         """Add the model vector: term weights, then the scaled numeric features."""
         inner = df.columns
         scaled = {f"_scaled_{f}": c for f, c in self.scaler.columns().items()}
-        with_terms = self.tfidf.transform(df).withColumns(scaled)
+        weighted = self.tfidf.transform(with_terms(df)).withColumns(scaled)
         assembler = VectorAssembler(inputCols=["tfidf", *scaled], outputCol=output)
-        return assembler.transform(with_terms).select(*inner, output)
+        return assembler.transform(weighted).select(*inner, output)
 
 
 def fit_featurizer(train: DataFrame, decades: DataFrame, key: str, settings: Settings = DEFAULTS) -> Featurizer:
-    """``train`` has terms and the 19 numeric columns."""
-    return Featurizer(fit_tfidf(train, key, settings), fit_scaler(train, NUMERIC_FEATURES), decades)
+    """``train`` has the cleaned text and the 19 numeric columns."""
+    terms = with_terms(train.select(key, "clean"))
+    return Featurizer(fit_tfidf(terms, key, settings), fit_scaler(train, NUMERIC_FEATURES), decades)
 
 
 @dataclass

@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE does the run-time work this package relies on: it turns a join into a
-# broadcast when the measured side is small, splits skewed join partitions and
-# coalesces small shuffle partitions.
+# broadcast when the measured side is small, and into a hash join (no sort of the
+# document side) when each partition of the metadata side fits the threshold; it
+# splits skewed join partitions and coalesces small shuffle partitions.
 ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
     "spark.sql.session.timeZone": "UTC",
 }
 
