@@ -178,7 +178,7 @@ def test_corpus_files_round_trip(spark):
     got = {r.file_name: r.text for r in read_corpus(spark, folder).collect()}
     assert got == {"a.txt": "café\nx\ny", "b c+%41.txt": "café"}  # zero bytes: passed over
     sizes = {r.file_name: r.n_bytes for r in list_corpus(spark, folder).collect()}
-    assert sizes == {"a.txt": 8, "b c+%41.txt": 5}
+    assert sizes == {"a.txt": 9, "b c+%41.txt": 5}
     plan = list_corpus(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1].splitlines()[0]
 
