@@ -180,7 +180,7 @@ def _numeric_documents(spark, sf_dir):
         C.to_length(F.col("movie_length")).alias("movie_length"),
     )
     joined = featured.join(meta, "doc_id")
-    return scale.encode_decades(joined, scale.decade_codes(meta))
+    return settle(scale.encode_decades(joined, scale.decade_codes(meta)), "numeric")
 
 
 @query
@@ -535,19 +535,20 @@ for _name in TEXT_FEATURES:
 # --- TF-IDF, scaling, split --------------------------------------------------
 
 
-def _terms(spark, sf_dir):
+def _cleaned(spark, sf_dir):
     docs = D.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return tfidf.document_terms(docs, "doc_id")
+    return docs.select("doc_id", X.clean_text(F.col("text")).alias("clean"))
 
 
 def _term_counts(spark, sf_dir):
-    return tfidf.term_counts(_terms(spark, sf_dir), "doc_id")
+    return tfidf.term_counts(tfidf.with_terms(_cleaned(spark, sf_dir)), "doc_id")
 
 
 def _weights(spark, sf_dir):
-    counts = settle(_term_counts(spark, sf_dir), "term-counts")
-    vocab = tfidf.vocabulary(counts, table(spark, sf_dir, "documents").count())
-    return tfidf.tfidf(counts, vocab, "doc_id")
+    """The cleaned text is written once: fitting and weighting both read it."""
+    cleaned = settle(_cleaned(spark, sf_dir), "cleaned")
+    counts = tfidf.term_counts(tfidf.with_terms(cleaned), "doc_id")
+    return tfidf.tfidf(counts, tfidf.vocabulary(counts, cleaned.count()), "doc_id")
 
 
 @query
@@ -561,8 +562,7 @@ def exact_train_test_split(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    docs = D.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", tfidf.tokenize(X.clean_text(F.col("text"))).alias("tokens"))
+    return _cleaned(spark, sf_dir).select("doc_id", tfidf.tokenize(F.col("clean")).alias("tokens"))
 
 
 def _listed(df, column):
@@ -601,16 +601,15 @@ _QUERIES["tfidf"] = _QUERIES.pop("tfidf_weights")
 @query
 def tfidf_transform(spark, sf_dir):
     """Fitted on the training side, applied to the test side."""
-    counts = settle(split.train_test_split(_term_counts(spark, sf_dir), "doc_id"), "split-counts")
-    sides = split.train_test_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
-    n_train = sides.where("split = 'train'").count()
-    vocab = tfidf.vocabulary(counts.where("split = 'train'"), n_train)
-    return _rounded(tfidf.tfidf(counts.where("split = 'test'"), vocab, "doc_id"), "weight")
+    sides = settle(split.train_test_split(_cleaned(spark, sf_dir), "doc_id"), "cleaned", "split")
+    train, test = (sides.where(F.col("split") == side) for side in ("train", "test"))
+    vocab = tfidf.vocabulary(tfidf.term_counts(tfidf.with_terms(train), "doc_id"), train.count())
+    return _rounded(tfidf.tfidf(tfidf.term_counts(tfidf.with_terms(test), "doc_id"), vocab, "doc_id"), "weight")
 
 
 @query
 def vectorize(spark, sf_dir):
-    terms = settle(_terms(spark, sf_dir), "terms")
+    terms = tfidf.with_terms(settle(_cleaned(spark, sf_dir), "cleaned"))
     model = tfidf.fit_tfidf(terms, "doc_id")
     return model.transform(terms).select("doc_id", F.col("tfidf").cast("string").alias("vector"))
 

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.functions.stopwords import ENGLISH_STOP_WORDS
-from scriptorium.functions.text import clean_text
 from scriptorium.schema import DEFAULTS, Settings
+from scriptorium.session import settle
 
 # Vocabularies up to this many rows are broadcast; a larger one is left to AQE.
 MAX_BROADCAST_TERMS = 200_000
@@ -96,10 +96,31 @@ def frequent_terms(counts: DataFrame, n_documents: int, settings: Settings = DEF
     return stats.where((F.col("df") >= settings.min_df) & (F.col("df") <= settings.max_df * n_documents))
 
 
+def at_least_top(stats: DataFrame, k: int) -> DataFrame:
+    """Rows that can be among the ``k`` largest ``tf``: a few times ``k`` of them.
+
+    Terms are counted by the power of two of their ``tf``, and the rows below the
+    power in which the k-th lies are dropped. The exact sort that follows then
+    gets that many rows in all, not ``k`` from each of thousands of partitions.
+    """
+    power = F.floor(F.log2(F.col("tf").cast("double")))
+    sizes = stats.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("power")).collect()
+    reached = 0
+    for row in sizes:
+        reached += row["n"]
+        if reached >= k:
+            return stats.where(power >= row["power"])
+    return stats
+
+
 def vocabulary(counts: DataFrame, n_documents: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """``term, tf, df, idf`` of the most frequent terms; ties go to the smaller term."""
+    """``term, tf, df, idf`` of the most frequent terms; ties go to the smaller term.
+
+    The frequent terms are written once, as choosing among them reads them twice.
+    """
+    stats = settle(frequent_terms(counts, n_documents, settings), "term-frequencies")
     top = (
-        frequent_terms(counts, n_documents, settings)
+        at_least_top(stats, settings.max_features)
         .orderBy(F.desc("tf"), F.asc("term"))
         .limit(settings.max_features)
     )
@@ -203,8 +224,3 @@ def fit_tfidf(train: DataFrame, key: str, settings: Settings = DEFAULTS) -> Tfid
     if not rows:
         raise ValueError("no term occurs in enough documents; lower min_df or add documents")
     return TfidfModel.from_rows(sorted(rows, key=lambda r: r["term"]))
-
-
-def document_terms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, terms`` straight from raw text."""
-    return with_terms(df.select(key, clean_text(F.col(text)).alias("clean"))).select(key, "terms")

@@ -14,12 +14,16 @@ from scriptorium.schema import DEFAULTS, Settings
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than the cluster has cores.
+    """Give every core work when a scan has fewer splits than the cluster has cores.
 
-    A large corpus has many splits and passes through untouched.
+    A large corpus has many splits and passes through untouched, and so does
+    anything already shuffled, whose partitions are AQE's business.
     """
+    plan = df._jdf.queryExecution().executedPlan().toString()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if "Exchange" in plan or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def cleaned_features(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -61,17 +61,18 @@ def prepare_training(
     """Split the loaded documents and build both feature tables.
 
     The document table and the feature table are written to the shared folder:
-    the first is read by every fit below, the second by every model.
+    the first is read by every fit below, the second by every model. Both are
+    partitioned by split, so a fit reads the training side only.
     """
     split = exact_train_test_split if exact else train_test_split
-    documents = settle(split(dataset, key, settings), "documents")
+    documents = settle(split(dataset, key, settings), "documents", "split")
     decades = settle(decade_codes(documents), "decades")
     encoded = encode_decades(documents, decades)
     train = encoded.where(F.col("split") == "train")
     featurizer = fit_featurizer(train, decades, "doc_key", settings)
     weighted = sample_weights(encoded, fit_on=train)
     columns = ["doc_key", "file_name", "movie_name", "split", F.col("rating").alias("label"), "weight", "features"]
-    features = settle(featurizer.transform(weighted).select(*columns), "features")
+    features = settle(featurizer.transform(weighted).select(*columns), "features", "split")
     manifest = documents.select(F.col("file_name").alias("script_file"), "movie_name", "rating", "split")
     return TrainingData(
         features.where(F.col("split") == "train"), features.where(F.col("split") == "test"), manifest, featurizer

@@ -52,13 +52,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def settle(df: DataFrame, label: str = "table") -> DataFrame:
+def settle(df: DataFrame, label: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage before iterative fits; the copy outlives a lost executor and,
-    being parquet, still prunes columns for each reader.
+    being parquet, still prunes columns for each reader. Filters on the
+    ``partition_by`` column then read only their own folder.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
