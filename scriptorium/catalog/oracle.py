@@ -204,17 +204,24 @@ NUMERIC = (
 )
 
 STOP_LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS) + "]"
-TOKENS = (
-    ("cleaned", f"SELECT doc_id, {_clean('text')} AS clean FROM documents"),
-    ("tokens", "SELECT doc_id, regexp_extract_all(clean, '[a-z0-9_]{2,}') AS tokens FROM cleaned"),
-    ("kept", f"SELECT doc_id, list_filter(tokens, lambda t: NOT list_contains({STOP_LIST}, t)) AS tokens FROM tokens"),
-    (
-        "pairs",
-        "SELECT doc_id, tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]) AS pairs FROM kept",
-    ),
-    ("occurrences", "SELECT doc_id, unnest(list_concat(tokens, pairs)) AS term FROM pairs"),
-    ("counts", "SELECT doc_id, term, count(*) AS tf FROM occurrences GROUP BY doc_id, term"),
-)
+
+
+def _tokens(source: str):
+    """Tokens, kept tokens, pairs and term counts of a table of ``doc_id, text``."""
+    return (
+        ("cleaned", f"SELECT doc_id, {_clean('text')} AS clean FROM {source}"),
+        ("tokens", "SELECT doc_id, regexp_extract_all(clean, '[a-z0-9_]{2,}') AS tokens FROM cleaned"),
+        ("kept", f"SELECT doc_id, list_filter(tokens, lambda t: NOT list_contains({STOP_LIST}, t)) AS tokens FROM tokens"),
+        (
+            "pairs",
+            "SELECT doc_id, tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]) AS pairs FROM kept",
+        ),
+        ("occurrences", "SELECT doc_id, unnest(list_concat(tokens, pairs)) AS term FROM pairs"),
+        ("counts", "SELECT doc_id, term, count(*) AS tf FROM occurrences GROUP BY doc_id, term"),
+    )
+
+
+TOKENS = _tokens("documents")
 
 
 def _fit(counts: str, n_documents: str):
@@ -250,6 +257,30 @@ SPLIT_TFIDF = (
     *_weigh("test_counts"),
 )
 
+LOADED = (
+    *OUTCOMES,
+    (
+        "loaded",
+        f"""SELECT r.source_ordinal || ':' || r.row_ordinal AS doc_id, h.file_name, c.text, {_side('h.file_name')} AS split,
+          coalesce({_strip('r.movie_name')}, 'Unknown') AS movie_name, try_cast(trim(r.rating) AS double) AS rating,
+          {YEAR} AS year, {DECADE} AS decade, {LENGTH} AS movie_length
+        FROM outcomes o
+        JOIN first_rows r ON o.source_ordinal = r.source_ordinal AND o.row_ordinal = r.row_ordinal
+        JOIN hits h ON o.source_ordinal = h.source_ordinal AND o.row_ordinal = h.row_ordinal
+        JOIN corpus c ON h.file_name = c.file_name WHERE outcome = 'loaded'""",
+    ),
+    ("training_rows", "SELECT * FROM loaded WHERE split = 'train'"),
+)
+TRAINED_VOCABULARY = (*LOADED, *_tokens("training_rows"), *_fit("counts", "SELECT count(*) FROM training_rows"))
+TRAINED_SCALER = (
+    *LOADED,
+    *_measured("training_rows", "doc_id"),
+    ("codes", "SELECT decade, row_number() OVER (ORDER BY decade) - 1 AS decade_encoded FROM (SELECT DISTINCT decade FROM loaded)"),
+    ("numeric19", "SELECT f.*, m.year, m.movie_length, c.decade_encoded FROM features f JOIN training_rows m USING (doc_id) JOIN codes c USING (decade)"),
+    NUMERIC[-3],
+    NUMERIC[-2],
+)
+
 LOOKUP = (
     (
         "lookup",
@@ -286,6 +317,20 @@ def oracle_sql() -> dict[str, str]:
         "decode_text": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'é' ELSE chr(10) END AS first_char,
             (CASE WHEN doc_id % 3 = 0 THEN strlen(text) + 1 ELSE length(text) + 1 END)::integer AS n_chars,
             CASE WHEN doc_id % 3 <> 0 THEN md5(chr(10) || text) END AS digest FROM documents""",
+        "write_split_manifest": _q(["movies", "corpus"], "SELECT split, count(*) AS n_rows FROM loaded GROUP BY split", LOADED),
+        "read_split_manifest": _q(
+            ["movies", "corpus"], "SELECT file_name AS script_file, movie_name, rating, split FROM loaded", LOADED
+        ),
+        "save_model": _q(
+            ["movies", "corpus"],
+            "SELECT (row_number() OVER (ORDER BY term) - 1)::integer AS term_index, term, tf, df, round(idf, 6) AS idf FROM vocab",
+            TRAINED_VOCABULARY,
+        ),
+        "load_model": _q(
+            ["movies", "corpus"],
+            "SELECT DISTINCT position::integer AS position, feature, round(mean, 6) AS mean, round(std, 6) AS std FROM feature_stats JOIN numeric_long USING (feature)",
+            TRAINED_SCALER,
+        ),
         "ensure_columns": _q(["movies_a"], f"SELECT {ORDER}, movie_name, NULL::varchar AS collected_by, NULL::varchar AS decade FROM movies_a"),
         "drop_duplicate_columns": _q(["movies"], f"SELECT {ORDER}, rating, decade FROM movies"),
         "coerce_rating": _column("rating", RATING),
@@ -476,6 +521,12 @@ def oracle_sql() -> dict[str, str]:
         "term_counts": _q([], "SELECT doc_id, term, tf FROM counts", TOKENS),
         "tfidf": _q([], "SELECT doc_id, term, round(weight, 6) AS weight FROM weights", TFIDF),
         "tfidf_transform": _q([], "SELECT doc_id, term, round(weight, 6) AS weight FROM weights", SPLIT_TFIDF),
+        "vectorize": _q(
+            [],
+            """SELECT d.doc_id, count(w.term) AS n_terms, round(coalesce(sum(weight), 0), 5) AS weight_sum
+            FROM documents d LEFT JOIN weights w ON d.doc_id = w.doc_id GROUP BY d.doc_id""",
+            TFIDF,
+        ),
         "standard_scale": _q(
             ["movies_a"],
             "SELECT doc_id, " + ", ".join(f"round(max(value) FILTER (feature = '{f}'), 5) AS {f}" for f in NUMERIC_FEATURES) + " FROM scaled_long GROUP BY doc_id",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,13 +121,12 @@ def read_split_manifest(spark, sf_dir):
 
 @query
 def save_model(spark, sf_dir):
-    return spark.read.parquet(f"{written_model(spark, sf_dir)}/vocabulary")
+    return _rounded(spark.read.parquet(f"{written_model(spark, sf_dir)}/vocabulary"), "idf")
 
 
 @query
 def load_model(spark, sf_dir):
-    loaded = scorer(spark, sf_dir)
-    return loaded.featurizer.scaler.to_table(spark).withColumn("model", F.lit(loaded.name))
+    return _rounded(scorer(spark, sf_dir).featurizer.scaler.to_table(spark), "mean", "std")
 
 
 # --- projections and coercions -----------------------------------------------
@@ -611,7 +611,12 @@ def tfidf_transform(spark, sf_dir):
 def vectorize(spark, sf_dir):
     terms = tfidf.with_terms(settle(_cleaned(spark, sf_dir), "cleaned"))
     model = tfidf.fit_tfidf(terms, "doc_id")
-    return model.transform(terms).select("doc_id", F.col("tfidf").cast("string").alias("vector"))
+    weights = vector_to_array("tfidf")
+    return model.transform(terms).select(
+        "doc_id",
+        F.size(F.array_remove(weights, 0.0)).cast("long").alias("n_terms"),
+        F.round(F.aggregate(weights, F.lit(0.0), lambda total, w: total + w), 5).alias("weight_sum"),
+    )
 
 
 @query
@@ -624,18 +629,18 @@ def standard_scale(spark, sf_dir):
 # --- models and scoring ------------------------------------------------------
 
 
-def _trained(name):
+def _trained(name, config):
     def run(spark, sf_dir):
         data = training(spark, sf_dir)
-        return predictions_of(train_model(data, name, M.SMALL_CONFIG), name, data.test)
+        return predictions_of(train_model(data, name, config), name, data.test)
 
     return run
 
 
-_QUERIES["train_random_forest"] = _trained(M.RANDOM_FOREST)
-_QUERIES["train_gbt"] = _trained(M.GRADIENT_BOOSTING)
-_QUERIES["train_ridge"] = _trained(M.RIDGE)
-_QUERIES["train_elastic_net"] = _trained(M.ELASTIC_NET)
+_QUERIES["train_random_forest"] = _trained(M.RANDOM_FOREST, M.SMALL_CONFIG)
+_QUERIES["train_gbt"] = _trained(M.GRADIENT_BOOSTING, M.SMALL_CONFIG)
+_QUERIES["train_ridge"] = _trained(M.RIDGE, M.REFERENCE_CONFIG)
+_QUERIES["train_elastic_net"] = _trained(M.ELASTIC_NET, M.REFERENCE_CONFIG)
 
 
 @query

@@ -13,17 +13,21 @@ from scriptorium.operators.resolve import resolve_script_files
 from scriptorium.schema import DEFAULTS, Settings
 
 
+SPLITS_PER_CORE = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core work when a scan has fewer splits than the cluster has cores.
 
-    A large corpus has many splits and passes through untouched, and so does
+    Documents differ in size a thousandfold, so a few splits per core even out
+    the tasks. A large corpus has many splits and passes through untouched, and so does
     anything already shuffled, whose partitions are AQE's business.
     """
     plan = df._jdf.queryExecution().executedPlan().toString()
     cores = df.sparkSession.sparkContext.defaultParallelism
     if "Exchange" in plan or df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
+    return df.repartition(cores * SPLITS_PER_CORE)
 
 
 def cleaned_features(docs: DataFrame, text: str = "text") -> DataFrame:
