@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.coerce import to_rating
@@ -49,12 +49,5 @@ def range_counts(df: DataFrame, rating: str = "rating") -> DataFrame:
 def split_summary(df: DataFrame, split: str = "split") -> DataFrame:
     """Rows and share per split."""
     counts = df.groupBy(split).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = F.sum("n_rows").over(_everything())
+    total = F.sum("n_rows").over(Window.partitionBy())  # over the two or three counts
     return counts.select(split, "n_rows", (F.col("n_rows") * 100.0 / total).alias("percent"))
-
-
-def _everything():
-    """A window over all rows; only for aggregates of a handful of rows."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy()

@@ -15,7 +15,7 @@ from scriptorium.plans.training import train_model, weighted_vs_unweighted
 from scriptorium.schema import NUMERIC_FEATURES
 from scriptorium.session import new_path
 from scriptorium.sources import manifest as SM
-from scriptorium.sources.corpus import list_corpus, read_corpus, write_corpus
+from scriptorium.sources.corpus import list_corpus, pack_corpus, read_corpus, read_packed_corpus, write_corpus
 from scriptorium.streaming.scoring import start_scoring
 
 TIGHT = M.ModelConfig(linear_iterations=2000, linear_tolerance=1e-12)
@@ -177,6 +177,9 @@ def test_corpus_files_round_trip(spark):
     assert write_corpus(df, folder) == 4
     got = {r.file_name: r.text for r in read_corpus(spark, folder).collect()}
     assert got == {"a.txt": "café\nx\ny", "b c+%41.txt": "café"}  # zero bytes: passed over
+    packed = new_path(spark, "packed")
+    pack_corpus(spark, folder, packed)
+    assert {r.file_name: r.text for r in read_packed_corpus(spark, packed).collect()} == got
     sizes = {r.file_name: r.n_bytes for r in list_corpus(spark, folder).collect()}
     assert sizes == {"a.txt": 9, "b c+%41.txt": 5}
     plan = list_corpus(spark, folder)._jdf.queryExecution().executedPlan().toString()
