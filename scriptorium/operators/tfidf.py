@@ -53,16 +53,11 @@ def remove_stop_words(tokens: Column, stop_words: Sequence[str] = ENGLISH_STOP_W
 
 
 def bigrams(tokens: Column) -> Column:
-    """Adjacent pairs; empty for fewer than two tokens."""
-    pairs = F.size(tokens) - 1
-    return F.when(
-        pairs > 0,
-        F.zip_with(
-            F.slice(tokens, F.lit(1), pairs),
-            F.slice(tokens, F.lit(2), pairs),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    """Adjacent pairs; empty for fewer than two tokens.
+
+    Each match is one token, and what it captures reaches over the next.
+    """
+    return F.regexp_extract_all(F.array_join(tokens, " "), F.lit("(?=([^ ]+ [^ ]+))[^ ]++"), F.lit(1))
 
 
 def with_terms(df: DataFrame, cleaned: str = "clean", stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
