@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.common import read_table
 from scriptorium.llm.decontaminate import contamination_report
+from scriptorium.llm.quality import quality_report
 from scriptorium.llm.simhash import near_duplicates
 
 
@@ -16,6 +17,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality_report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -23,6 +29,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
 }
 
@@ -55,4 +62,35 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS B
 FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_benchmark_decontamination": _OP2_SQL}
+_OP4_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+win AS (
+  SELECT r, p, array_to_string(w[p : p + 7], ' ') AS win
+  FROM (SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS p FROM doc)),
+twice AS (SELECT r, win FROM win GROUP BY r, win HAVING count(*) > 1),
+rep AS (
+  SELECT r, count(DISTINCT q) AS n
+  FROM (SELECT r, unnest(generate_series(p, p + 7)) AS q FROM win SEMI JOIN twice USING (r, win)) GROUP BY r),
+m AS (
+  SELECT doc_id, t, lines, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM doc LEFT JOIN rep USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_symbols * 10 > n_words
+    OR len(regexp_extract_all(t, '!')) * 10 > n_words * 3
+    OR len(regexp_extract_all(t, '\p{Lu}')) * 10 > len(regexp_extract_all(t, '\p{L}')) * 6
+    OR n_dup_lines * 2 > len(lines) OR word_chars > n_words * 40
+    OR len(regexp_extract_all(t, '\p{L}')) * 5 < length(t)) AS kept
+FROM m
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": _OP2_SQL,
+    "op4_quality_rules": _OP4_SQL,
+}
