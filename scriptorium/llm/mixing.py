@@ -3,9 +3,9 @@
 A source's mean repetition rate is its target share of the output over its size.
 Each document draws its number of copies by inverting the Poisson distribution of
 that mean at a number hashed from (seed, doc_id, text), so a repeated or lost task
-draws the same. Copies are exploded and brought into a global random order by a
-hashed key: one range exchange, after which partitions in order, sorted, are one
-shuffled stream.
+draws the same. Copies are exploded, dealt over all partitions by a hashed key and
+sorted by it there: one exchange, after which each partition is a uniform random
+share of the mixture in random order, and ``mix_key`` orders the whole.
 
 A large mean is the sum of ``parts`` independent Poisson draws of at most
 ``PART_MEAN`` each (the sum of Poisson variables is Poisson), so the tables of
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import settle
+from scriptorium.llm.common import let, settle
 
 SEED = 11
 PART_MEAN = 4.0
@@ -42,19 +42,17 @@ def source_rates(
     a source like any other.
     """
     size = F.coalesce(F.length("text"), F.lit(0)).cast("bigint") + 1
-    sizes = documents.groupBy("source").agg(F.sum(size).alias("size"))
+    sizes = settle(documents.groupBy("source").agg(F.sum(size).alias("size")), "mix-sizes")
     if weights is None:
         weighted = sizes.withColumn("weight", F.lit(1.0))
     else:
         given = documents.sparkSession.createDataFrame(list(weights.items()), "__source string, weight double")
         weighted = sizes.join(given, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
         weighted = weighted.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
-    sums = weighted.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    total = F.lit(total_chars).cast("bigint") if total_chars is not None else F.col("all_size")
-    # one row of sums beside a row a source
-    return weighted.join(F.broadcast(sums)).select(
-        "source", "size", F.coalesce(F.col("weight") / F.col("all_weight") * total / F.col("size"), F.lit(0.0)).alias("rate")
-    )
+    sums = weighted.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    total = total_chars if total_chars is not None else sums["size"] or 0
+    share = F.col("weight") / F.lit(sums["weight"] or 1.0)
+    return weighted.select("source", "size", (share * F.lit(total).cast("bigint") / F.col("size")).alias("rate"))
 
 
 def _cumulative(mean: Column) -> Column:
@@ -77,7 +75,7 @@ def mix_sources(
     mixture); a column of these names that the input has is replaced. Rows alike in
     doc_id and text draw alike. Null ids and texts are hashed as empty strings.
     """
-    rates = settle(source_rates(documents, weights, total_chars), "mix-rates")
+    rates = source_rates(documents, weights, total_chars)
     parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int")
     tables = rates.select(
         F.col("source").alias("__source"), parts.alias("__parts"), _cumulative(F.col("rate") / parts).alias("__table")
@@ -91,7 +89,9 @@ def mix_sources(
     count = F.aggregate(
         F.transform(
             F.sequence(F.lit(1), F.col("__parts")),
-            lambda j: F.size(F.filter("__table", lambda c: c <= _uniform(F.col("__row"), j.cast("string")))),
+            lambda j: let(
+                _uniform(F.col("__row"), j.cast("string")), lambda u: F.size(F.filter("__table", lambda c: c <= u))
+            ),
         ),
         F.lit(0),
         lambda a, b: a + b,
@@ -100,7 +100,7 @@ def mix_sources(
         *(docs[c] for c in names), "__row", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_copy")
     )
     keyed = copied.withColumn("mix_key", F.md5(F.concat_ws("|", F.col("__row"), F.lit("order"), F.col("mix_copy").cast("string"))))
-    return keyed.drop("__row").repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    return keyed.drop("__row").repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def mixture(documents: DataFrame) -> DataFrame:

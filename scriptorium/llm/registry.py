@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.common import read_table
 from scriptorium.llm.decontaminate import contamination_report
+from scriptorium.llm.mixing import mixture
 from scriptorium.llm.quality import quality_report
 from scriptorium.llm.simhash import near_duplicates
 from scriptorium.llm.token_files import token_report
@@ -33,11 +34,17 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to equal shares of their sources."""
+    return mixture(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_id_binary_output": op3_token_id_binary_output,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_mixing_sources": op6_mixing_sources,
 }
 
 _OP2_SQL = r"""
@@ -97,7 +104,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+_OP6_SQL = """
+WITH RECURSIVE sizes AS (
+  SELECT source, CAST(sum(coalesce(length(text), 0) + 1) AS BIGINT) AS size FROM documents GROUP BY source),
+rates AS (
+  SELECT source, 1.0::DOUBLE / (SELECT sum(1.0::DOUBLE) FROM sizes)
+    * (SELECT CAST(sum(size) AS BIGINT) FROM sizes)::DOUBLE / size::DOUBLE AS rate FROM sizes),
+tables AS (
+  SELECT source, greatest(CAST(ceil(rate / 4.0::DOUBLE) AS INTEGER), 1) AS parts,
+    rate / greatest(CAST(ceil(rate / 4.0::DOUBLE) AS INTEGER), 1)::DOUBLE AS mean FROM rates),
+terms AS (
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM tables
+  UNION ALL
+  SELECT source, mean, k + 1, p * mean / (k + 1)::DOUBLE, c + p * mean / (k + 1)::DOUBLE FROM terms WHERE k < 39),
+cumulative AS (SELECT source, list(c ORDER BY k) AS cs FROM terms GROUP BY source),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, d.source, text, parts, cs,
+    md5(concat_ws('|', '11', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS row_hash
+  FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source
+  JOIN cumulative c ON d.source IS NOT DISTINCT FROM c.source),
+draws AS (
+  SELECT *, ('0x' || substr(md5(concat_ws('|', row_hash, CAST(j AS VARCHAR))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM (SELECT *, unnest(generate_series(1, parts)) AS j FROM docs)),
+counts AS (SELECT r, sum(len(list_filter(cs, lambda x: x <= u))) AS n FROM draws GROUP BY r)
+SELECT doc_id, source, text, CAST(copy AS INTEGER) AS mix_copy,
+  md5(concat_ws('|', row_hash, 'order', CAST(copy AS VARCHAR))) AS mix_key
+FROM (SELECT docs.*, unnest(generate_series(0, CAST(n AS BIGINT) - 1)) AS copy FROM docs JOIN counts USING (r) WHERE n > 0)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": _OP2_SQL,
     "op4_quality_rules": _OP4_SQL,
+    "op6_mixing_sources": _OP6_SQL,
 }
