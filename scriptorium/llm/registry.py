@@ -10,6 +10,7 @@ from scriptorium.llm.common import read_table
 from scriptorium.llm.decontaminate import contamination_report
 from scriptorium.llm.mixing import mixture
 from scriptorium.llm.quality import quality_report
+from scriptorium.llm.sharding import shard_report
 from scriptorium.llm.simhash import near_duplicates
 from scriptorium.llm.token_files import token_report
 
@@ -39,12 +40,18 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read_table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return shard_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_id_binary_output": op3_token_id_binary_output,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_mixing_sources": op6_mixing_sources,
+    "op8_sharding": op8_sharding,
 }
 
 _OP2_SQL = r"""
