@@ -10,11 +10,17 @@ from scriptorium.llm.common import read_table
 from scriptorium.llm.decontaminate import contamination_report
 from scriptorium.llm.mixing import mixture
 from scriptorium.llm.quality import quality_report
+from scriptorium.llm.secrets import find_secrets
 from scriptorium.llm.sharding import shard_report
 from scriptorium.llm.simhash import near_duplicates
 from scriptorium.llm.token_files import token_report
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return find_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of the benchmark in every document."""
     return contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -46,6 +52,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_id_binary_output": op3_token_id_binary_output,
     "op4_quality_rules": op4_quality_rules,
