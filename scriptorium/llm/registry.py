@@ -14,6 +14,7 @@ from scriptorium.llm.secrets import find_secrets
 from scriptorium.llm.sharding import shard_report
 from scriptorium.llm.simhash import near_duplicates
 from scriptorium.llm.token_files import token_report
+from scriptorium.llm.warc import page_archive
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives written."""
+    return page_archive(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_mixing_sources": op6_mixing_sources,
     "op8_sharding": op8_sharding,
+    "op9_warc": op9_warc,
 }
 
 _OP2_SQL = r"""
@@ -146,8 +153,19 @@ SELECT doc_id, source, text, CAST(copy AS INTEGER) AS mix_copy,
 FROM (SELECT docs.*, unnest(generate_series(0, CAST(n AS BIGINT) - 1)) AS copy FROM docs JOIN counts USING (r) WHERE n > 0)
 """
 
+_OP9_SQL = """
+WITH page AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+first AS (SELECT digest, min(page_id) AS first_id FROM page WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+FROM page LEFT JOIN first USING (digest)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": _OP2_SQL,
     "op4_quality_rules": _OP4_SQL,
     "op6_mixing_sources": _OP6_SQL,
+    "op9_warc": _OP9_SQL,
 }
