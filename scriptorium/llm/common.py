@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.session import settle, shared_dir
 
-__all__ = ["let", "read_table", "settle", "checkpointed", "text_bytes", "released"]
+__all__ = ["let", "read_table", "settle", "checkpointed", "text_bytes", "pieces"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +37,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def released(df: DataFrame | None) -> None:
-    """Forget a persisted table of an earlier round."""
-    if df is not None and df.storageLevel != StorageLevel.NONE:
-        df.unpersist()
+def pieces(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about ``limit`` bytes, with the index of the first: bounds working memory."""
+    start, size = 0, 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > limit:
+            yield start, texts[start:k]
+            start, size = k, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, texts[start:]

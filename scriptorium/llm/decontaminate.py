@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import settle, text_bytes
+from scriptorium.llm.common import pieces, settle, text_bytes
 
 WINDOW_WORDS = 10
 BLOCK_WINDOWS = 500_000
@@ -93,18 +93,6 @@ class Words:
         )
 
 
-def pieces(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about ``limit`` bytes, with the index of the first: bounds working memory."""
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > limit:
-            yield start, texts[start:k]
-            start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, texts[start:]
-
-
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """(window binary, n_words int, item string), distinct: the windows and the items that have them.
 
