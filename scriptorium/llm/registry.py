@@ -10,6 +10,7 @@ from scriptorium.llm.common import read_table
 from scriptorium.llm.decontaminate import contamination_report
 from scriptorium.llm.mixing import mixture
 from scriptorium.llm.quality import quality_report
+from scriptorium.llm.repeats import repeat_report
 from scriptorium.llm.secrets import find_secrets
 from scriptorium.llm.sharding import shard_report
 from scriptorium.llm.simhash import near_duplicates
@@ -47,6 +48,11 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without its repeated strings."""
+    return repeat_report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return shard_report(read_table(spark, sf_dir, "documents"))
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_mixing_sources": op6_mixing_sources,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
 }
