@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scriptorium.llm.chat import format_chat
 from scriptorium.llm.common import read_table
 from scriptorium.llm.decontaminate import contamination_report
 from scriptorium.llm.mixing import mixture
@@ -63,6 +65,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_archive(read_table(spark, sf_dir, "pages"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message, call and result of all conversations, in order keys and canonical JSON."""
+    rows = format_chat(read_table(spark, sf_dir, "conversations"))
+    return rows.withColumn("problems", F.array_join("problems", ","))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -73,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 _OP2_SQL = r"""
@@ -170,9 +179,18 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM page LEFT JOIN first USING (digest)
 """
 
+# The tables hold no tool calls, so their rows are all messages.
+_OP10_SQL = """
+SELECT conv_id, turn, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS name,
+  'message' AS status, CAST(NULL AS VARCHAR) AS problems, turn AS order_turn, 0 AS order_level, 0 AS order_kind, 0 AS order_index,
+  '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
+FROM conversations
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": _OP2_SQL,
     "op4_quality_rules": _OP4_SQL,
     "op6_mixing_sources": _OP6_SQL,
     "op9_warc": _OP9_SQL,
+    "op10_chat_formatting": _OP10_SQL,
 }
