@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scriptorium.llm.common import settle, text_bytes
+from scriptorium.llm.common import pieces, settle, text_bytes
 from scriptorium.llm.files import fresh_name, make_folder, resolve
 from scriptorium.session import new_path
 
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 26
 END_ID = 2
+PIECE_BYTES = 2 << 20
 MAGIC = b"IDPLANE1"
 TRAILER = struct.Struct("<QQQ8s")  # offsets of document table and index, bytes of index, magic
 PLANES = {"byte": 4, "bit": 32}
@@ -160,54 +161,73 @@ class CachedEncoder:
 
     A single blank between two non-blank characters always ends a piece of a
     byte-level tokenizer, so a text is the sum of its blank-separated pieces and
-    frequent ones are looked up. Texts with other runs of blanks, or with a special
-    token's string, go to the library whole. The memory is emptied when full.
+    frequent ones are looked up; new ones of many texts go to the library in one
+    call. Texts with other runs of blanks, or with a special token's string, go to
+    the library whole. The memory is emptied when full.
     """
 
-    ENTRIES, PIECE_CHARS = 400_000, 64
+    ENTRIES, PIECE_CHARS = 1_200_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        # piece -> its ids' bytes, or None if a text that has it must go whole
+        self.inner: dict[str, bytes | None] = {}
+        self.head: dict[str, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _pieces(self, missing: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _learn(self, known: dict[str, bytes | None], pieces: set[str], lead: str) -> list[str]:
+        """Encode the pieces not known; gives those too long to be remembered."""
+        new = [p for p in pieces if p not in known]
+        loose = [p for p in new if not p or (lead and p[0].isspace()) or p[-1].isspace() or any(s in p for s in self.special)]
+        known.update(dict.fromkeys(loose))
+        left = [p for p in new if p not in known]
+        found = self.tokenizer.encode_batch_fast([lead + p for p in left], add_special_tokens=False)
+        known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(left, found, strict=True))
+        return [p for p in new if len(p) > self.PIECE_CHARS]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.split(" ") for t in texts]
+        heads = {s[0] for s in split}
+        inner = set().union(*(s[1:] for s in split))
+        once = [(self.head, p) for p in self._learn(self.head, heads, "")]
+        once += [(self.inner, p) for p in self._learn(self.inner, inner, " ")]
+        spaced = [x for x in self.special if " " in x]
+        out, get = [], self.inner.get
+        for text, (head, *rest) in zip(texts, split, strict=True):
+            first = self.head[head]
+            try:
+                if first is None or any(x in text for x in spaced):
+                    raise TypeError
+                data = b"".join((first, *map(get, rest)))
+            except TypeError:  # a piece without ids of its own
+                data = self.whole(text)
+            out.append(np.frombuffer(data, "<u4"))
+        for known, p in once:
+            known.pop(p, None)
+        for known in (self.head, self.inner):
+            if len(known) > self.ENTRIES:
+                known.clear()
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        head, *rest = text.split(" ")
-        pieces = [head, *map(" ".__add__, rest)]
-        found = list(map(self.known.get, pieces))
-        missing = list(dict.fromkeys(p for p, f in zip(pieces, found, strict=True) if f is None))
-        if missing:
-            loose = any(len(p) < 2 or p[1].isspace() or p[-1].isspace() for p in missing if p is not head)
-            if loose or not head or head[-1].isspace() or any(s in text for s in self.special):
-                return np.frombuffer(self.whole(text), "<u4")
-            new = dict(zip(missing, self._pieces(missing), strict=True))
-            found = [new[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
-            if len(self.known) > self.ENTRIES:
-                self.known.clear()
-            # a piece that is unsafe elsewhere is never remembered: it made its text go whole
-            self.known.update((p, v) for p, v in new.items() if len(p) <= self.PIECE_CHARS)
-        return np.frombuffer(b"".join(found), "<u4")
+        return self.encode_many([text])[0]
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
 
 
-def _encoder(path: str) -> Callable[[str], np.ndarray]:
+def _encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if path not in _ENCODERS:
         _ENCODERS[path] = CachedEncoder(path)
-    return _ENCODERS[path].encode
+    return _ENCODERS[path].encode_many
 
 
 def default_tokenizer() -> str:
@@ -236,15 +256,16 @@ def write_token_files(
             rows[-1] |= {"n_docs": len(writer.docs), "n_ids": writer.n_ids}
 
         for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if writer is None or writer.n_ids >= file_ids:
-                    if writer:
-                        finish()
-                    name = fresh_name(part, len(rows), ".ids")
-                    rows.append({"file": f"{folder}/{name}", "part": part, "seq": len(rows)})
-                    writer = TokenFileWriter(system.open_output_stream(f"{base}/{name}"), kind, block_ids)
-                ids = encode(data.as_py().decode())
-                writer.add(doc_id, np.append(ids, np.uint32(end_id)))
+            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at, piece in pieces(texts, PIECE_BYTES):
+                for doc_id, ids in zip(ids_of[at:], encode([x.decode() for x in piece]), strict=False):
+                    if writer is None or writer.n_ids >= file_ids:
+                        if writer:
+                            finish()
+                        name = fresh_name(part, len(rows), ".ids")
+                        rows.append({"file": f"{folder}/{name}", "part": part, "seq": len(rows)})
+                        writer = TokenFileWriter(system.open_output_stream(f"{base}/{name}"), kind, block_ids)
+                    writer.add(doc_id, np.append(ids, np.uint32(end_id)))
         if writer:
             finish()
         yield pa.RecordBatch.from_pylist(rows, schema=MANIFEST)
