@@ -6,8 +6,9 @@ import logging
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.schema import EXPECTED_COLUMNS, HEADER_TO_COLUMN, HEADER_TYPOS, ORDER_COLUMNS
@@ -67,26 +68,61 @@ def to_engine_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[HEADER_TO_COLUMN.get(c, c) for c in df.columns])
 
 
+CSV_OPTIONS = {
+    "quote": '"', "escape": '"', "multiLine": True,
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+# Within a file: places a file's rows can have, as a power of two.
+FILE_ROWS_BITS = 40
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file or folder as strings, with its header's names by position.
+
+    Cells may be quoted, hold doubled quotes and line breaks. The header is read as
+    data, since Spark would rename repeated names; each file's own header line is
+    then passed over. A file is read as a whole: metadata is small beside a corpus.
+    """
+    reader = spark.read.options(**CSV_OPTIONS)
+    header = reader.option("header", False).csv(path).first()
+    if header is None:
+        raise ValueError(f"{path} is empty")
+    names = [name if name is not None else "" for name in header]
+    positions = ", ".join(f"_c{i} string" for i in range(len(names)))
+    rows = reader.schema(positions).option("header", True).csv(path)
+    return rows.select(*rows.columns, row_place(rows, F.monotonically_increasing_id())).toDF(*names, PLACE)
+
+
+PLACE = "__row_place"
+
+
+def row_place(df: DataFrame, position: Column) -> Column:
+    """Order of a row: its file's rank by path, then its position in the file.
+
+    Spark scans larger files first, so scan order is no order. A file's rows are
+    read by one task in order, or, for Parquet, know their index.
+    """
+    files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+    rank = F.array_position(F.lit(files), F.col("_metadata.file_path")) - 1
+    inside = position.bitwiseAND(F.lit((1 << 33) - 1))
+    return (F.shiftleft(rank.cast("long"), FILE_ROWS_BITS) + inside).alias(PLACE)
+
+
 def read_source(spark: SparkSession, path: str) -> DataFrame:
-    """One metadata source. Parquet keeps its types; CSV is read as strings.
+    """One metadata source; the expected columns are strings, whatever its types.
 
-    Row order decides which duplicate is kept. A source that has a
-    ``row_ordinal`` column is ordered by it; any other is numbered in file
-    order, which Spark guarantees for one file per source.
+    Row order decides which duplicate is kept. A source that has a ``row_ordinal``
+    column is ordered by it; any other by file name and place in the file.
     """
     if path.rstrip("/").endswith(".parquet"):
-        raw = spark.read.parquet(path)
+        rows = spark.read.parquet(path)
+        raw = rows.select(*(F.col(f"`{c}`") for c in rows.columns), row_place(rows, F.col("_metadata.row_index")))
     else:
-        raw = (
-            spark.read.option("header", True)
-            .option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False)
-            .csv(path)
-        )
+        raw = read_csv(spark, path)
     df = to_engine_columns(raw)
-    if "row_ordinal" in df.columns:
-        return df.withColumn("row_ordinal", F.col("row_ordinal").cast("long"))
-    return df.withColumn("row_ordinal", F.monotonically_increasing_id())
+    df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in EXPECTED_COLUMNS if c in df.columns})
+    order = F.col("row_ordinal").cast("long") if "row_ordinal" in df.columns else F.col(PLACE)
+    return df.withColumn("row_ordinal", order).drop(PLACE)
 
 
 def union_sources(sources: Sequence[DataFrame]) -> DataFrame:
@@ -109,7 +145,7 @@ def read_metadata(
             continue
         try:
             source = read_source(spark, path)
-        except AnalysisException as err:
+        except (PySparkException, Py4JJavaError, ValueError) as err:  # no footer, no header, no schema
             log.error("metadata source not readable: %s (%s)", path, err)
             continue
         sources.append(

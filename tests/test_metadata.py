@@ -68,3 +68,48 @@ def test_read_metadata_from_csv(spark, tmp_path):
     assert rows[0].script_file == " file1.txt " and rows[1].rating is None and rows[2].movie_length == "96"
     with pytest.raises(FileNotFoundError):
         MD.read_metadata(spark, [str(tmp_path / "none.csv")])
+
+
+def test_repeated_header_keeps_the_first_column(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("Movie name,IMDb Rating,IMDb Rating,.txt Files\nUp,8.3,1.0,a\n")
+    row = MD.read_metadata(spark, str(path)).first()
+    assert (row.rating, row.script_file) == ("8.3", "a")
+
+
+def test_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('Movie name,Year,.txt Files\n"He said ""hi, you"" loud",1999,a\n"two\nlines",2000,b\n')
+    rows = MD.read_metadata(spark, str(path)).orderBy("row_ordinal").collect()
+    assert [(r.movie_name, r.year, r.script_file) for r in rows] == [('He said "hi, you" loud', "1999", "a"), ("two\nlines", "2000", "b")]
+
+
+def test_typed_and_text_sources_meet(spark, tmp_path):
+    typed, text = str(tmp_path / "t.parquet"), tmp_path / "a.csv"
+    spark.createDataFrame([("Up", 2009)], "`Movie name` string, Year int").write.parquet(typed)
+    text.write_text("Movie name,Year\nOld,N/A\n")
+    rows = MD.read_metadata(spark, [typed, str(text)]).orderBy("source_ordinal").collect()
+    assert [r.year for r in rows] == ["2009", "N/A"]
+
+
+def test_order_follows_files_not_sizes(spark, tmp_path):
+    folder = tmp_path / "m.csv"
+    folder.mkdir()
+    at = 0
+    for k, n in enumerate((1, 4, 7)):
+        (folder / f"part-{k}.csv").write_text("IMDb ID,Movie name\n" + "".join(f"{at + i},{'x' * 50 * k}\n" for i in range(n)))
+        at += n
+    packed = str(tmp_path / "m.parquet")
+    rows = [r.imdb_id for r in MD.read_metadata(spark, str(folder)).orderBy("row_ordinal").collect()]
+    assert rows == [str(i) for i in range(12)]
+    spark.createDataFrame([(str(i),) for i in range(40)], "`IMDb ID` string").repartitionByRange(3, "`IMDb ID`").write.parquet(packed)
+    first = MD.read_metadata(spark, packed).orderBy("row_ordinal").collect()
+    assert sorted(r.imdb_id for r in first) == sorted(str(i) for i in range(40)) and len({r.row_ordinal for r in first}) == 40
+
+
+def test_unreadable_sources_are_skipped(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_bytes(b"not parquet at all")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "ok.csv").write_text("Movie name\nUp\n")
+    paths = [str(tmp_path / n) for n in ("bad.parquet", "empty.csv", "ok.csv")]
+    assert [r.source_ordinal for r in MD.read_metadata(spark, paths).collect()] == [2]
