@@ -4,13 +4,11 @@ A reference can name its file in eleven ways: six spellings of the whole
 reference (positions 0-5) and five of its first number (positions 6-10). The
 first candidate that exists wins.
 
-Spark-side the metadata flows once through two equi-joins on file names:
-
-* each row is exploded into its spellings (three, six if it has spaces), joined
-  with the file listing, and gathered again by row key with the best hit;
-* numbered files are reduced to the best file per number, and joined on the
-  number, so a popular number is one row on the file side. Rows without a number
-  get a key of their own that cannot match, which spreads them evenly.
+Only keys and names take part: each reference is exploded into its spellings (three,
+six if it has spaces) and joined with the file listing; numbered files are reduced
+to the best file per number and joined on the number, so a popular number is one row
+on the file side. The hits alone are reduced to one a row and joined back by key. Rows
+without a reference or number enter no join but the last, which spreads by key.
 
 Only names travel through these joins; document text is joined later.
 """
@@ -79,18 +77,13 @@ def resolve_script_files(
 
     ``key`` identifies a row.
     """
-    kept = [c for c in movies.columns if c not in key]
-    named = movies.withColumn("_ref", F.nullif(strip(F.col(ref)), F.lit("")))
-    spelled = named.withColumn("_candidate", F.explode_outer(literal_candidates(F.col("_ref"))))
-    spelled = spelled.withColumn("_name", F.col("_candidate.file_name"))
+    keyed = movies.select(*key, F.nullif(strip(F.col(ref)), F.lit("")).alias("_ref")).where("_ref is not null")
+    spelled = keyed.select(*key, F.explode(literal_candidates(F.col("_ref"))).alias("_hit"))
     files = listing.select(F.col("file_name").alias("_file"))
-    tried = spelled.join(files, F.col("_name") == F.col("_file"), "left")
-    hit = F.when(F.col("_file").isNotNull(), F.col("_candidate"))
-    gathered = tried.groupBy(*key).agg(
-        F.min(hit).alias("_by_name"), F.any_value(F.struct("_ref", *kept)).alias("_row")
+    by_name = spelled.join(files, F.col("_hit.file_name") == F.col("_file")).select(*key, "_hit")
+    numbered = keyed.select(*key, first_number(F.col("_ref")).alias("_number")).where("_number is not null")
+    by_number = numbered.join(best_numbered_files(listing), "_number").select(*key, F.col("_by_number").alias("_hit"))
+    best = by_name.unionByName(by_number).groupBy(*key).agg(F.min("_hit").alias("_hit"))
+    return movies.join(best, list(key), "left").select(
+        *(movies[c] for c in movies.columns), F.col("_hit.file_name").alias("file_name"), F.col("_hit.position").alias("candidate_position")
     )
-    number = F.coalesce(first_number(F.col("_row._ref")), F.concat_ws(":", F.lit("none"), *key))
-    numbered = gathered.withColumn("_number", number).join(best_numbered_files(listing), "_number", "left")
-    best = F.coalesce("_by_name", "_by_number")
-    rows = [F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in movies.columns]
-    return numbered.select(*rows, best["file_name"].alias("file_name"), best["position"].alias("candidate_position"))
