@@ -15,9 +15,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler, VectorSizeHint
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorSizeHint
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +25,6 @@ from scriptorium.functions.stopwords import ENGLISH_STOP_WORDS
 from scriptorium.schema import DEFAULTS, Settings
 from scriptorium.session import settle
 
-# Vocabularies up to this many rows are broadcast; a larger one is left to AQE.
-MAX_BROADCAST_TERMS = 200_000
-
 VOCABULARY_SCHEMA = T.StructType(
     [
         T.StructField("term_index", T.IntegerType()),
@@ -129,12 +125,10 @@ def vocabulary(counts: DataFrame, n_documents: int, settings: Settings = DEFAULT
 def tfidf(counts: DataFrame, vocab: DataFrame, key: str, settings: Settings = DEFAULTS) -> DataFrame:
     """``key, term, weight`` with each document scaled to length 1.
 
-    Terms outside the vocabulary drop out in the join, before the only shuffle.
+    Terms outside the vocabulary drop out in the join, before the only shuffle; AQE
+    measures the vocabulary and broadcasts it if small.
     """
-    known = vocab.select("term", "idf")
-    if settings.max_features <= MAX_BROADCAST_TERMS:
-        known = F.broadcast(known)
-    weighted = counts.join(known, "term", "inner").select(
+    weighted = counts.join(vocab.select("term", "idf"), "term", "inner").select(
         key, "term", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("weight")
     )
     return l2_normalize(weighted, key)
@@ -181,14 +175,15 @@ class TfidfModel:
         counted = CountVectorizerModel.from_vocabulary(
             list(self.terms), inputCol=terms, outputCol="_tf"
         ).transform(df)
-        sublinear = F.transform(
-            vector_to_array("_tf"), lambda x: F.when(x > 0, 1.0 + F.log(x)).otherwise(F.lit(0.0))
+        # Known terms only, so the work follows a document's terms, not the vocabulary. A
+        # vector can be opened as a struct; the way back is a parse with its own type.
+        opened = counted.withColumn("_open", F.unwrap_udt("_tf")).drop("_tf")
+        damped = F.struct(
+            F.lit(0).alias("type"), F.lit(len(self.terms)).alias("size"), F.col("_open.indices").alias("indices"),
+            F.transform("_open.values", lambda x: 1.0 + F.log(x)).alias("values"),
         )
-        damped = counted.withColumn("_dense", array_to_vector(sublinear)).drop("_tf")
-        # a one-input assembler stores the row in its smaller form, here sparse;
-        # the size hint saves it a job that looks at the first row
-        damped = size_hint("_dense", len(self.terms)).transform(damped)
-        sparse = VectorAssembler(inputCols=["_dense"], outputCol="_sparse").transform(damped).drop("_dense")
+        parsed = F.from_json(F.to_json(F.struct(damped.alias("v"))), T.StructType([T.StructField("v", VectorUDT())]))
+        sparse = opened.withColumn("_sparse", parsed["v"]).drop("_open")
         weighted = ElementwiseProduct(
             scalingVec=Vectors.dense(self.idf), inputCol="_sparse", outputCol="_weighted"
         ).transform(sparse)
