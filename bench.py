@@ -16,10 +16,10 @@ import time
 from pyspark.sql import functions as F
 
 from scriptorium.catalog import queries
-from scriptorium.catalog.training_runs import corpus, movies, training_result, written_model
+from scriptorium.catalog.training_runs import SETTINGS, corpus, movies, training_result, written_model
 from scriptorium.catalog.views import table
 from scriptorium.functions.text import clean_text, text_features
-from scriptorium.plans.dataset import load_dataset, spread
+from scriptorium.plans.dataset import load_dataset, partitioned
 from scriptorium.session import build_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -34,7 +34,7 @@ SCORING = ("batch_predict", "scoring_report", "evaluate_test_set")
 
 
 def clean_and_features(spark):
-    docs = spread(table(spark, SF_DIR, "documents").select("doc_id", "text"))
+    docs = partitioned(table(spark, SF_DIR, "documents").select("doc_id", "text"), SETTINGS)
     return text_features(docs).withColumn("clean", clean_text(F.col("text"))).drop("text")
 
 
@@ -64,7 +64,7 @@ def main() -> None:
     found, seconds = queries(), {}
     drain(table(spark, SF_DIR, "documents"))  # start the JVM's readers before timing
     timed(seconds, "clean_and_features", lambda: drain(clean_and_features(spark)))
-    timed(seconds, "load_dataset", lambda: drain(load_dataset(movies(spark, SF_DIR), corpus(spark, SF_DIR))))
+    timed(seconds, "load_dataset", lambda: drain(load_dataset(movies(spark, SF_DIR), corpus(spark, SF_DIR), SETTINGS)))
     for name in (*RELATIONAL, *TEXT):
         timed(seconds, name, lambda: drain(found[name](spark, SF_DIR)))
     timed(seconds, "train_four_models", lambda: training_result(spark, SF_DIR))

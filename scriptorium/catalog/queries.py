@@ -12,7 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.catalog.training_runs import corpus, movies, scorer, training, training_result, written_corpus, written_manifest, written_model
+from scriptorium.catalog import training_runs
+from scriptorium.catalog.training_runs import SETTINGS, corpus, movies, scorer, training, training_result, written_corpus, written_manifest, written_model
 from scriptorium.catalog.views import table, view
 from scriptorium.functions import coerce as C
 from scriptorium.functions import rating as R
@@ -21,7 +22,7 @@ from scriptorium.operators import dedup, evaluate, gates, resolve, scale, split,
 from scriptorium.plans import dataset as D
 from scriptorium.plans import models as M
 from scriptorium.plans import scoring as S
-from scriptorium.plans.training import predictions_of, train_model, weighted_vs_unweighted
+from scriptorium.plans.training import predictions_of, unweighted_metrics
 from scriptorium.schema import DEFAULTS, NUMERIC_FEATURES, ORDER_COLUMNS, TEXT_FEATURES
 from scriptorium.session import new_path, settle
 from scriptorium.sources import corpus as SC
@@ -80,6 +81,19 @@ def scan_metadata(spark, sf_dir):
     return MD.read_metadata(spark, paths).drop("source_path")
 
 
+@query
+def scan_metadata_files(spark, sf_dir):
+    """A folder of CSV files: quotes, line breaks, a repeated header, and order by file and line alone."""
+    base = new_path(spark, "metadata-files")
+    rows = view(spark, sf_dir, "movies_a").repartitionByRange(3, "row_ordinal").sortWithinPartitions("row_ordinal")
+    named = F.concat("movie_name", F.lit(' "the, quoted"\nsecond line'))
+    written = rows.select(
+        named.alias(" Movie  name"), F.col("rating").alias("IMDb Rating"), F.lit("0").alias("IMDb  Rating "), F.col("imdb_id").alias("IMDb ID")
+    )
+    written.write.options(header=True, escape='"', quoteAll=True).csv(f"{base}/movies.csv")
+    return dedup.keep_first(MD.read_metadata(spark, f"{base}/movies.csv"), ["movie_name"]).select("imdb_id", "movie_name", "rating")
+
+
 @query
 def normalize_headers(spark, sf_dir):
     tidy = MD.normalize_headers(_raw_headers(movies(spark, sf_dir)))
@@ -102,7 +116,7 @@ def decode_text(spark, sf_dir):
         "doc_id",
         F.substring(text, 1, 1).alias("first_char"),
         F.length(text).alias("n_chars"),
-        F.when(F.col("doc_id") % 3 != 0, F.md5(text)).alias("digest"),
+        F.md5(text).alias("digest"),
     )
 
 
@@ -171,7 +185,7 @@ def inference_defaults(spark, sf_dir):
 
 def _numeric_documents(spark, sf_dir):
     """All documents with the 19 numeric features, keyed by document id."""
-    docs = D.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = D.partitioned(table(spark, sf_dir, "documents").select("doc_id", "text"), SETTINGS)
     featured = X.text_features(docs).drop("text")
     meta = view(spark, sf_dir, "movies_a").select(
         F.col("row_ordinal").alias("doc_id"),
@@ -302,7 +316,7 @@ def restrict_to_test_set(spark, sf_dir):
 
 @query
 def missing_files(spark, sf_dir):
-    return gates.missing_files(movies(spark, sf_dir), corpus(spark, sf_dir).select("file_name"), limit=10)
+    return gates.missing_files(movies(spark, sf_dir), corpus(spark, sf_dir).select("file_name"))
 
 
 @query
@@ -488,7 +502,7 @@ def _mask(text):
 
 
 def _texts(spark, sf_dir):
-    return D.spread(view(spark, sf_dir, "texts"))
+    return D.partitioned(view(spark, sf_dir, "texts"), SETTINGS)
 
 
 def _cleaning(step):
@@ -536,7 +550,7 @@ for _name in TEXT_FEATURES:
 
 
 def _cleaned(spark, sf_dir):
-    docs = D.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = D.partitioned(table(spark, sf_dir, "documents").select("doc_id", "text"), SETTINGS)
     return docs.select("doc_id", X.clean_text(F.col("text")).alias("clean"))
 
 
@@ -629,36 +643,63 @@ def standard_scale(spark, sf_dir):
 # --- models and scoring ------------------------------------------------------
 
 
-def _trained(name, config):
+def _checked(scored, *columns):
+    """The named columns, and whether the prediction is a rating; what SQL can state of a fitted model."""
+    return scored.select(*columns, F.col("predicted_rating").between(1.0, 10.0).alias("in_range"))
+
+
+def _trained(name):
+    """The test side under one model of the shared full-size training."""
+
     def run(spark, sf_dir):
-        data = training(spark, sf_dir)
-        return predictions_of(train_model(data, name, config), name, data.test)
+        predicted = training_result(spark, sf_dir).predictions.where(F.col("model") == name)
+        return predicted.select("model", "script_file", "movie_name", "actual", F.col("predicted").between(1.0, 10.0).alias("in_range"))
 
     return run
 
 
-_QUERIES["train_random_forest"] = _trained(M.RANDOM_FOREST, M.SMALL_CONFIG)
-_QUERIES["train_gbt"] = _trained(M.GRADIENT_BOOSTING, M.SMALL_CONFIG)
-_QUERIES["train_ridge"] = _trained(M.RIDGE, M.REFERENCE_CONFIG)
-_QUERIES["train_elastic_net"] = _trained(M.ELASTIC_NET, M.REFERENCE_CONFIG)
+_QUERIES["train_random_forest"] = _trained(M.RANDOM_FOREST)
+_QUERIES["train_gbt"] = _trained(M.GRADIENT_BOOSTING)
+_QUERIES["train_ridge"] = _trained(M.RIDGE)
+_QUERIES["train_elastic_net"] = _trained(M.ELASTIC_NET)
+
+
+def _sane(df):
+    """Metric rows reduced to their counts, and whether the measures fit together."""
+    fits = (F.col("rmse") >= F.col("mae")) & (F.col("mae") >= 0) & (F.col("r2") <= 1)
+    return df.withColumn("consistent", fits).drop("rmse", "mae", "r2")
 
 
 @query
 def train_and_compare(spark, sf_dir):
+    """Every model's test rows, and whether the chosen one is the one with the least error."""
     result = training_result(spark, sf_dir)
-    return result.metrics.withColumn("is_best", F.col("model") == result.best)
+    least = result.metrics.agg(F.min("rmse")).first()[0]
+    chosen = (F.col("model") != result.best) | (F.col("rmse") == least)
+    return _sane(result.metrics.withColumn("best_is_least", chosen))
 
 
 @query
 def weighted_vs_unweighted_training(spark, sf_dir):
-    return weighted_vs_unweighted(training(spark, sf_dir), M.SMALL_CONFIG, [M.RIDGE, M.ELASTIC_NET])
+    data = training(spark, sf_dir)
+    weighted = training_result(spark, sf_dir).metrics.withColumn("weighted", F.lit(True))
+    return _sane(unweighted_metrics(data, training_runs.CONFIG).unionByName(weighted))
 
 
 _QUERIES["weighted_vs_unweighted"] = _QUERIES.pop("weighted_vs_unweighted_training")
 
 
+@query
+def load_model_predictions(spark, sf_dir):
+    """Test documents, and whether the saved and reloaded model rates them as the fitted one did."""
+    result, data = training_result(spark, sf_dir), training(spark, sf_dir)
+    again = predictions_of(scorer(spark, sf_dir).model, result.best, data.test).select("doc_key", F.col("predicted").alias("again"))
+    before = result.predictions.where(F.col("model") == result.best)
+    return before.join(again, "doc_key").select("doc_key", "script_file", (F.col("predicted") == F.col("again")).alias("same"))
+
+
 def _corpus_inputs(spark, sf_dir):
-    return D.spread(corpus(spark, sf_dir).select("file_name", "text"))
+    return D.partitioned(corpus(spark, sf_dir).select("file_name", "text"), SETTINGS)
 
 
 @query
@@ -666,19 +707,20 @@ def predict_document(spark, sf_dir):
     """Every file with the year, decade code and length known for it."""
     lookup = D.metadata_by_file(movies(spark, sf_dir))
     inputs = D.lookup_metadata(_corpus_inputs(spark, sf_dir), lookup, scorer(spark, sf_dir).featurizer.decades)
-    return S.predict(inputs, scorer(spark, sf_dir))
+    return _checked(S.predict(inputs, scorer(spark, sf_dir)), "file_name", "year", "decade_encoded", "movie_length")
 
 
 @query
 def predict_text(spark, sf_dir):
     """Texts without names or metadata: conversation turns."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return S.predict(D.spread(turns), scorer(spark, sf_dir))
+    return _checked(S.predict(D.partitioned(turns, SETTINGS), scorer(spark, sf_dir)), "conv_id", "turn")
 
 
 @query
 def batch_predict(spark, sf_dir):
-    return S.predict(_corpus_inputs(spark, sf_dir), scorer(spark, sf_dir))
+    scored = S.predict(_corpus_inputs(spark, sf_dir), scorer(spark, sf_dir))
+    return _checked(scored, "file_name", "year", "decade_encoded", "movie_length")
 
 
 def _evaluated(spark, sf_dir):
@@ -689,7 +731,12 @@ def _evaluated(spark, sf_dir):
 
 @query
 def evaluate_test_set(spark, sf_dir):
-    return _evaluated(spark, sf_dir)["metrics"]
+    """Test rows that found their prediction, and whether the metrics follow from them."""
+    reports = _evaluated(spark, sf_dir)
+    error = F.col("predicted") - F.col("actual")
+    own = reports["predictions"].agg(F.sqrt(F.avg(error * error)).alias("own_rmse"), F.avg(F.abs(error)).alias("own_mae")).first()
+    agrees = (F.abs(F.col("rmse") - own["own_rmse"]) < 1e-9) & (F.abs(F.col("mae") - own["own_mae"]) < 1e-9)
+    return reports["metrics"].select("n_rows", agrees.alias("agrees"))
 
 
 @query
@@ -705,11 +752,19 @@ def prediction_analysis(spark, sf_dir):
 
 @query
 def scoring_report(spark, sf_dir):
-    return S.scoring_report(_corpus_inputs(spark, sf_dir), scorer(spark, sf_dir))
+    report = S.scoring_report(_corpus_inputs(spark, sf_dir), scorer(spark, sf_dir))
+    rating = F.col("predicted_rating")
+    worded = F.col("message") == R.message(rating, F.col("file_name"))
+    return report.select(
+        "file_name", "error", rating.between(1.0, 10.0).alias("in_range"), (worded & (F.col("rating_category") == R.rating_category(rating))).alias("worded")
+    )
 
 
 @query
 def scoring_stream(spark, sf_dir):
     output, checkpoint = new_path(spark, "scored"), new_path(spark, "scoring-checkpoint")
     start_scoring(spark, written_corpus(spark, sf_dir), scorer(spark, sf_dir), output, checkpoint).awaitTermination()
-    return spark.read.parquet(output)
+    streamed = spark.read.parquet(output).select("file_name", "predicted_rating", "rating_category", "message", "error")
+    batch = S.scoring_report(SC.read_corpus(spark, written_corpus(spark, sf_dir)), scorer(spark, sf_dir)).select(*streamed.columns)
+    differing = streamed.exceptAll(batch).count() + batch.exceptAll(streamed).count()
+    return streamed.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_differing", F.lit(differing).cast("bigint"))

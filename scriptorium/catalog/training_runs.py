@@ -6,20 +6,26 @@ Each is made once per session and table folder, from the given tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.catalog.views import view
-from scriptorium.plans.dataset import load_dataset, spread
+from scriptorium.plans.dataset import load_dataset, partitioned
 from scriptorium.plans.model_store import load_model, save_model
-from scriptorium.plans.models import SMALL_CONFIG
+from scriptorium.plans.models import REFERENCE_CONFIG
 from scriptorium.plans.scoring import ScoringModel
 from scriptorium.plans.training import TrainingData, TrainingResult, prepare_training, train_and_compare
+from scriptorium.schema import DEFAULTS
 from scriptorium.session import new_path
-from scriptorium.sources.corpus import write_corpus
+from scriptorium.catalog.text_files import write_corpus
 from scriptorium.sources.manifest import write_split_manifest
 
+CONFIG = REFERENCE_CONFIG
+# The given tables lie in one or two splits: text work is dealt over this many tasks.
+SETTINGS = replace(DEFAULTS, text_partitions=16)
+
 _MADE: dict[tuple, object] = {}
 
 
@@ -40,13 +46,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training(spark: SparkSession, sf_dir: str) -> TrainingData:
     def make():
-        return prepare_training(load_dataset(movies(spark, sf_dir), corpus(spark, sf_dir)))
+        return prepare_training(load_dataset(movies(spark, sf_dir), corpus(spark, sf_dir), SETTINGS), SETTINGS)
 
     return _once(spark, sf_dir, "training", make)
 
 
 def training_result(spark: SparkSession, sf_dir: str) -> TrainingResult:
-    return _once(spark, sf_dir, "result", lambda: train_and_compare(training(spark, sf_dir), SMALL_CONFIG))
+    return _once(spark, sf_dir, "result", lambda: train_and_compare(training(spark, sf_dir), CONFIG))
 
 
 def written_manifest(spark: SparkSession, sf_dir: str) -> str:
@@ -79,7 +85,7 @@ def written_corpus(spark: SparkSession, sf_dir: str) -> str:
 
     def make():
         path = new_path(spark, "corpus")
-        files = spread(corpus(spark, sf_dir)).select("file_name", F.encode("text", "utf-8").alias("content"))
+        files = partitioned(corpus(spark, sf_dir), SETTINGS).select("file_name", F.encode("text", "utf-8").alias("content"))
         write_corpus(files, path)
         return path
 

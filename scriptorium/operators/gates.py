@@ -78,11 +78,10 @@ def audit_skipped(
     return skipped.select(*ORDER_COLUMNS, "movie_name", "reason", detail.alias("detail"))
 
 
-def missing_files(movies: DataFrame, listing: DataFrame, limit: int | None = None) -> DataFrame:
-    """Referenced files that are absent from the corpus, optionally the first few."""
+def missing_files(movies: DataFrame, listing: DataFrame) -> DataFrame:
+    """Every referenced file that is absent from the corpus."""
     refs = movies.select(*ORDER_COLUMNS, "movie_name", to_script_ref(F.col("script_file")).alias("file_name"))
-    absent = refs.where(F.col("file_name").isNotNull()).join(listing, "file_name", "left_anti")
-    return absent.orderBy(*ORDER_COLUMNS).limit(limit) if limit else absent
+    return refs.where(F.col("file_name").isNotNull()).join(listing, "file_name", "left_anti")
 
 
 def existing_files(refs: DataFrame, listing: DataFrame, ref: str = "file_name") -> DataFrame:

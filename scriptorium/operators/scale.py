@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from scriptorium.schema import NUMERIC_FEATURES
 
+MAX_LABELS = 10_000
+
 SCALER_SCHEMA = T.StructType(
     [
         T.StructField("position", T.IntegerType()),
@@ -34,9 +36,12 @@ def decade_codes(df: DataFrame, decade: str = "decade") -> DataFrame:
 def encode_decades(df: DataFrame, codes: DataFrame, decade: str = "decade") -> DataFrame:
     """Add ``decade_encoded``; a label that was not fitted is 0.
 
-    No broadcast hint: AQE measures the label table and broadcasts it if small.
+    A shuffle by label would put all documents of a decade into one task, so the
+    labels are counted and, up to ``MAX_LABELS``, broadcast. More than that are no
+    hot keys, and join as AQE sees fit.
     """
-    joined = df.join(codes, decade, "left")
+    few = codes.limit(MAX_LABELS + 1).count() <= MAX_LABELS
+    joined = df.join(F.broadcast(codes) if few else codes, decade, "left")
     return joined.withColumn("decade_encoded", F.coalesce("decade_encoded", F.lit(0)))
 
 

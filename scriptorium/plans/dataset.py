@@ -13,21 +13,9 @@ from scriptorium.operators.resolve import resolve_script_files
 from scriptorium.schema import DEFAULTS, Settings
 
 
-SPLITS_PER_CORE = 4
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a scan has fewer splits than the cluster has cores.
-
-    Documents differ in size a thousandfold, so a few splits per core even out
-    the tasks. A large corpus has many splits and passes through untouched, and so does
-    anything already shuffled, whose partitions are AQE's business.
-    """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in plan or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * SPLITS_PER_CORE)
+def partitioned(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The rows over ``settings.text_partitions`` tasks, or as they are if it is not set."""
+    return df.repartition(settings.text_partitions) if settings.text_partitions else df
 
 
 def cleaned_features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -52,17 +40,16 @@ def typed_metadata(movies: DataFrame, settings: Settings = DEFAULTS) -> DataFram
 def load_dataset(movies: DataFrame, corpus: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row per document that passes every gate: metadata, features, cleaned text.
 
-    Metadata is deduplicated, then gated, then matched to file names, and meets
-    the documents last. Documents are measured and cleaned in the corpus scan,
-    so each file is processed once. Terms are derived after the join: the cleaned
-    text is a third of their size.
+    Metadata is deduplicated, gated and matched to file names first. Documents then
+    meet it before any pattern runs, so a file that no row refers to costs its read
+    alone. Terms are derived after the join: the cleaned text is a third of their size.
     """
     unique = keep_first(movies).withColumn("rating", to_rating(F.col("rating")))
     rated = filter_valid_rating(unique)
     matched = resolve_script_files(rated, corpus.select("file_name"))
     metadata = typed_metadata(matched.where(F.col("file_name").isNotNull()), settings)
-    documents = filter_min_length(spread(corpus.select("file_name", "text")), settings=settings)
-    return metadata.join(cleaned_features(documents), "file_name", "inner")
+    documents = filter_min_length(corpus.select("file_name", "text"), settings=settings)
+    return cleaned_features(partitioned(metadata.join(documents, "file_name"), settings))
 
 
 def label_dataset(movies: DataFrame, corpus: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

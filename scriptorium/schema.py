@@ -73,6 +73,9 @@ class Settings:
     default_scoring_year: int = 2020
     default_decade: str = "2000s"
     default_length: float = 120.0
+    # Tasks for text work, where a corpus has few or uneven splits; None keeps the
+    # scan's own. Give about four a core; a balanced packed corpus needs none.
+    text_partitions: int | None = None
 
 
 DEFAULTS = Settings()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
+
 # AQE does the run-time work this package relies on: it turns a join into a
 # broadcast when the measured side is small, and into a hash join (no sort of the
 # document side) when each partition of the metadata side fits the threshold; it
@@ -45,14 +50,41 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="scriptorium-")
+        log.warning("spark.checkpoint.dir is not set: this local session writes to %s", folder)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+_RUNS: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder, or below the folder of the run that is open."""
+    base = _RUNS[-1] if _RUNS else shared_dir(spark)
+    return f"{base}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for what a job writes on its way, removed when the block ends.
+
+    What the caller keeps must be written elsewhere, or held (see ``held``), before
+    the end of the block.
+    """
+    folder = new_path(spark, "run")
+    _RUNS.append(folder)
+    try:
+        yield folder
+    finally:
+        _RUNS.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def held(report: DataFrame) -> DataFrame:
+    """A report of a few rows as a table of its own, independent of files. Only for bounded reports."""
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)
 
 
 def settle(df: DataFrame, label: str = "table", partition_by: str | None = None) -> DataFrame:

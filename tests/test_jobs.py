@@ -1,13 +1,15 @@
 """The four jobs, from files to files."""
 
+from pathlib import Path
+
 import pytest
+from conftest import SMALL_CONFIG
 
 from scriptorium.catalog.training_runs import written_corpus
 from scriptorium.catalog.views import view
 from scriptorium.plans import scoring as S
-from scriptorium.plans.jobs import open_corpus, run_audit, run_evaluation, run_scoring, run_training
+from scriptorium.plans.jobs import open_corpus, run_audit, run_evaluation, run_packing, run_scoring, run_stream, run_training, write_reports
 from scriptorium.plans.model_store import load_model
-from scriptorium.plans.models import SMALL_CONFIG
 from scriptorium.session import new_path
 from scriptorium.sources.corpus import pack_corpus
 
@@ -30,12 +32,19 @@ def test_audit(spark, paths):
     outcomes = {r.outcome: r.n_rows for r in reports["load_summary"].collect()}
     assert outcomes["total"] == sum(n for o, n in outcomes.items() if o != "total") > outcomes["loaded"] > 0
     assert reports["ratings_by_source"].count() == 2
-    assert all(r.count() >= 0 for r in reports.values())
+    assert reports["missing_files"].count() > 10
+    write_reports(reports, f"{paths['base']}/reports")
+    for name, report in reports.items():
+        assert spark.read.parquet(f"{paths['base']}/reports/{name}").count() == report.count()
 
 
 def test_train_evaluate_score(spark, paths):
     args = (spark, paths["metadata"], paths["packed"], paths["model"], paths["manifest"])
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
     result, reports = run_training(*args, config=SMALL_CONFIG, exact_split=True)
+    assert not [p for p in set(shared.iterdir()) - before if p.name.startswith("run-")]
+    assert result.predictions.count() == 4 * reports["split"].where("split = 'test'").first().n_rows
     split = {r.split: r.n_rows for r in reports["split"].collect()}
     total = sum(split.values())
     assert abs(split["test"] - -(-total * 3 // 10)) <= 1
@@ -43,10 +52,18 @@ def test_train_evaluate_score(spark, paths):
 
     evaluation = run_evaluation(*args)
     assert evaluation["metrics"].first().n_rows == split["test"]
+    files = evaluation["files"].first()
+    assert files.n_documents == files.n_existing == split["test"] and evaluation["skipped"].count() == 0
 
     scored = run_scoring(spark, paths["folder"], paths["model"], f"{paths['base']}/scored")
     assert scored.count() == open_corpus(spark, paths["folder"]).count()
 
+    streamed = run_stream(spark, paths["folder"], paths["model"], f"{paths['base']}/streamed", f"{paths['base']}/streaming")
+    assert streamed.count() == scored.count()
+    packed = run_packing(spark, paths["folder"], f"{paths['base']}/packed.parquet", files=3).first()
+    assert packed.n_files == scored.count()
+    assert len(list(Path(f"{paths['base']}/packed.parquet").glob("*.parquet"))) == 3
+
     model = load_model(spark, paths["model"])
     name = scored.where("error is null").first().file_name
     one = S.predict_document(spark, f"{paths['folder']}/{name}", model, year=1999, movie_length=100.0).collect()

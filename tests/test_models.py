@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from conftest import SMALL_CONFIG
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from scriptorium.plans.training import train_model, weighted_vs_unweighted
 from scriptorium.schema import NUMERIC_FEATURES
 from scriptorium.session import new_path
 from scriptorium.sources import manifest as SM
-from scriptorium.sources.corpus import list_corpus, pack_corpus, read_corpus, read_packed_corpus, write_corpus
+from scriptorium.catalog.text_files import write_corpus
+from scriptorium.sources.corpus import list_corpus, pack_corpus, read_corpus, read_packed_corpus
 from scriptorium.streaming.scoring import start_scoring
 
 TIGHT = M.ModelConfig(linear_iterations=2000, linear_tolerance=1e-12)
@@ -67,11 +69,12 @@ def test_loaded_documents_equal_the_labels(spark, sf_dir):
     assert loaded.where("year is null or movie_length is null or decade is null").count() == 0
 
 
-def test_text_meets_metadata_last(spark, sf_dir):
-    """The raw text column is gone before the first join of documents."""
+def test_only_matched_documents_are_cleaned(spark, sf_dir):
+    """Patterns over texts stand above the join of documents with their metadata."""
     plan = load_dataset(movies(spark, sf_dir), corpus(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
-    top = plan[: plan.index("Join Inner")]
-    assert "text#" not in top and "CartesianProduct" not in plan and "PythonUDF" not in plan
+    below = plan[plan.index("Join Inner") :]
+    assert "AS clean" in plan and "AS clean" not in below and "AS sentence_count" not in below
+    assert "CartesianProduct" not in plan and "PythonUDF" not in plan
 
 
 def test_training_data(spark, sf_dir):
@@ -97,7 +100,7 @@ def test_weights_flag_changes_the_fit(spark, sf_dir):
     data = training(spark, sf_dir)
     fits = [train_model(data, M.RIDGE, use_weights=flag).coefficients.toArray() for flag in (True, False)]
     assert np.abs(fits[0] - fits[1]).max() > 1e-3
-    runs = weighted_vs_unweighted(data, M.SMALL_CONFIG, [M.RIDGE]).collect()
+    runs = weighted_vs_unweighted(data, SMALL_CONFIG, [M.RIDGE]).collect()
     assert sorted(r.weighted for r in runs) == [False, True]
 
 
