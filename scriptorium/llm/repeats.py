@@ -284,7 +284,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, shard_contexts: i
         "doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("did"), F.xxhash64(data).alias("tid"), data.alias("data")
     )
     scanned = text_runs(identified.select("did", "tid", "data"), length)
-    often = scanned.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("anchor")
+    # Written first: a join of two plain exchanges is one that Spark can split where an anchor is hot.
+    often = settle(scanned.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("anchor"), "repeats-anchors")
     runs = settle(scanned.join(often, "anchor", "left_semi"), "repeats-runs")
     contexts = settle(
         runs.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start", "n")).alias("at")),
@@ -293,7 +294,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, shard_contexts: i
     groups = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
     shards = F.ceil(F.col("contexts") / shard_contexts).cast("int")
     # contexts alone under their anchor repeat as a whole, as their anchor occurs twice
-    several = groups.where("contexts > 1").select("anchor", shards.alias("shards"))
+    several = settle(groups.where("contexts > 1").select("anchor", shards.alias("shards")), "repeats-groups")
     wanted = contexts.join(several, "anchor").select(
         "anchor", F.pmod(F.xxhash64("c1", "c2"), F.col("shards")).cast("int").alias("salt"), "shards", "c1", "c2", "times", "at.*"
     )
