@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Each rule is a Boolean column that is true for a document to reject. A sample
-tells each rule's cost (time over the sample, less that of reading it) and
+Each rule is a Boolean expression over a text and its words, true for a document to
+reject; the words are cut once for all rules. A sample tells each rule's cost (time over the sample, less that of reading it) and
 selectivity (share it rejects); the rules then run in descending order of
 rejections per second as the branches of one CASE, so that a dear rule is
 evaluated only for documents that no cheaper one has rejected. The order never
@@ -11,6 +11,7 @@ changes which documents are kept, as a document is kept if no rule rejects it.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -68,51 +69,46 @@ def _dup_lines(text: Column) -> Column:
     return let(_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
 
 
-def measures(text: str = "text") -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the whole text."""
-    t = _filled(text)
-    return let(
-        _words(t),
-        lambda w: F.struct(
-            F.size(w).cast("bigint").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
-            F.regexp_count(t, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
-            _dup_lines(t).alias("n_dup_lines"),
-            _repeat_words(w).alias("n_repeat_words"),
-        ),
+def measures(t: Column, words: Column) -> Column:
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a whole text."""
+    return F.struct(
+        F.size(words).cast("bigint").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
+        _count(t, SYMBOLS).cast("bigint").alias("n_symbols"),
+        _dup_lines(t).alias("n_dup_lines"),
+        _repeat_words(words).alias("n_repeat_words"),
     )
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``rejects`` takes the text, never null, and its words."""
+
     name: str
-    rejects: Column
+    rejects: Callable[[Column, Column], Column]
 
 
-def _n_words(t: Column) -> Column:
-    return F.size(_words(t))
+def _count(t: Column, pattern: str) -> Column:
+    return F.regexp_count(t, F.lit(pattern))
 
 
-def base_rules(text: str = "text") -> list[Rule]:
+def base_rules() -> list[Rule]:
     """The two fixed rules: too few words, or over 30 % of words in repeated windows."""
-    t = _filled(text)
     return [
-        Rule("few_words", _n_words(t) < 20),
-        Rule("repetitive", let(_words(t), lambda w: _repeat_words(w) * 100 > F.size(w) * 30)),
+        Rule("few_words", lambda t, w: F.size(w) < 20),
+        Rule("repetitive", lambda t, w: _repeat_words(w) * 100 > F.size(w) * 30),
     ]
 
 
-def method_rules(text: str = "text") -> list[Rule]:
+def method_rules() -> list[Rule]:
     """Rules beyond the fixed ones. Each needs a large share of a document to be junk."""
-    t = _filled(text)
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
     return [
-        Rule("symbols", count(SYMBOLS) * 10 > _n_words(t)),
-        Rule("exclaiming", count("!") * 10 > _n_words(t) * 3),
-        Rule("shouting", count(r"\p{Lu}") * 10 > count(r"\p{L}") * 6),
-        Rule("dup_lines", _dup_lines(t) * 2 > F.size(_lines(t))),
-        Rule("word_length", let(_words(t), lambda w: F.length(F.array_join(w, "")) > F.size(w) * 40)),
-        Rule("no_letters", count(r"\p{L}") * 5 < F.length(t)),
+        Rule("symbols", lambda t, w: _count(t, SYMBOLS) * 10 > F.size(w)),
+        Rule("exclaiming", lambda t, w: _count(t, "!") * 10 > F.size(w) * 3),
+        Rule("shouting", lambda t, w: _count(t, r"\p{Lu}") * 10 > _count(t, r"\p{L}") * 6),
+        Rule("dup_lines", lambda t, w: let(_lines(t), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 2 > F.size(x))),
+        Rule("word_length", lambda t, w: F.length(F.array_join(w, "")) > F.size(w) * 40),
+        Rule("no_letters", lambda t, w: _count(t, r"\p{L}") * 5 < F.length(t)),
     ]
 
 
@@ -132,27 +128,32 @@ def ordered(
     rule that rejects nothing in the sample goes last, cheapest first.
     """
     sample = documents.select("text").sample(withReplacement=False, fraction=fraction, seed=seed)
-    reading = F.length("text") >= 0
-    _timed(sample, reading, rows)  # starts readers and compiled code before anything is timed
-    idle, _ = _timed(sample, reading, rows)
+    idle = let(_words(_filled("text")), lambda w: F.size(w) < 0)
+    _timed(sample, idle, rows)  # starts readers and compiled code before anything is timed
+    reading, _ = _timed(sample, idle, rows)
     scored = []
     for rule in rules:
-        took, got = _timed(sample, rule.rejects, rows)
-        cost = max(took - idle, 1e-3) / max(len(got), 1)
-        rate = sum(bool(r.x) for r in got) / max(len(got), 1)
+        took, got = _timed(sample, rejected_by([rule]).isNotNull(), rows)
+        cost = max(took - reading, 1e-3) / max(len(got), 1)
+        rate = sum(r.x for r in got) / max(len(got), 1)
         scored.append((-rate / cost, cost, rule))
     return [rule for *_, rule in sorted(scored, key=lambda x: x[:2])]
 
 
-def rejected_by(rules: list[Rule]) -> Column:
-    """Name of the first rule, in the given order, that rejects; null for a document to keep."""
+def _first_rejecting(rules: list[Rule], t: Column, words: Column) -> Column:
     first, *rest = rules
-    chain = F.when(first.rejects, F.lit(first.name))
+    chain = F.when(first.rejects(t, words), F.lit(first.name))
     for rule in rest:
-        chain = chain.when(rule.rejects, F.lit(rule.name))
+        chain = chain.when(rule.rejects(t, words), F.lit(rule.name))
     return chain
 
 
+def rejected_by(rules: list[Rule], text: str = "text") -> Column:
+    """Name of the first rule, in the given order, that rejects; null for a document to keep."""
+    t = _filled(text)
+    return let(_words(t), lambda w: _first_rejecting(rules, t, w))
+
+
 def keep_good(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """The documents no rule rejects, every column kept; a null text has no words and is rejected.
 
@@ -165,8 +166,15 @@ def keep_good(documents: DataFrame, rules: list[Rule] | None = None) -> DataFram
 def quality_report(documents: DataFrame) -> DataFrame:
     """Measures and verdict of every document, one row per input row; null texts count as empty."""
     cascade = ordered(documents, method_rules())
-    docs = documents.select("doc_id", "text")
-    m = docs.withColumn("m", measures())
-    failed = (F.col("m.n_words") < 20) | (F.col("m.n_repeat_words") * 100 > F.col("m.n_words") * 30)
-    verdict = F.when(failed, F.lit(False)).otherwise(rejected_by(cascade).isNull())
-    return m.select("doc_id", "m.*", failed.alias("base_failed"), verdict.alias("kept"))
+    t = _filled("text")
+
+    def judged(words: Column) -> Column:
+        def verdict(m: Column) -> Column:
+            failed = (m["n_words"] < 20) | (m["n_repeat_words"] * 100 > m["n_words"] * 30)
+            kept = F.when(failed, F.lit(False)).otherwise(_first_rejecting(cascade, t, words).isNull())
+            names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+            return F.struct(*(m[n].alias(n) for n in names), failed.alias("base_failed"), kept.alias("kept"))
+
+        return let(measures(t, words), verdict)
+
+    return documents.select("doc_id", let(_words(t), judged).alias("m")).select("doc_id", "m.*")
