@@ -22,6 +22,11 @@ from scriptorium.schema import DEFAULTS, NUMERIC_FEATURES, Settings
 from scriptorium.session import settle
 
 
+# Every task of a fit sends sums as wide as the model (trees: nodes x features), however
+# few its rows are; fewer rows than this a task would only add to what is merged.
+TRAIN_ROWS_PER_TASK = 2000
+
+
 @dataclass(frozen=True)
 class Featurizer:
     """Everything fitted on the training documents; all parts are small."""
@@ -76,9 +81,9 @@ def prepare_training(
     columns = ["doc_key", "file_name", "movie_name", "split", F.col("rating").alias("label"), "weight", "features"]
     features = settle(featurizer.transform(weighted).select(*columns), "features", "split")
     manifest = documents.select(F.col("file_name").alias("script_file"), "movie_name", "rating", "split")
-    return TrainingData(
-        features.where(F.col("split") == "train"), features.where(F.col("split") == "test"), manifest, featurizer
-    )
+    fitted = features.where(F.col("split") == "train")
+    tasks = max(1, -(-fitted.count() // TRAIN_ROWS_PER_TASK))
+    return TrainingData(fitted.coalesce(tasks), features.where(F.col("split") == "test"), manifest, featurizer)
 
 
 @dataclass
