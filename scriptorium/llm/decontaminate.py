@@ -222,9 +222,11 @@ def find_contamination(
     # A row is told by its id and text, so that rows with equal ids stay apart.
     keyed = documents.select("doc_id", F.sha2(text_bytes(), 256).alias("key"), text_bytes().alias("data"))
     scans = []
-    for b in range(blocks):
+    for b in range(blocks):  # one after the other: driver and tasks hold one block at a time
         rows = numbered.where(F.col("block") == b).select("window", "n_words", "rep").collect()
-        scans.append(_scan(keyed, spark.sparkContext.broadcast(Block(rows))))
+        held = spark.sparkContext.broadcast(Block(rows))
+        scans.append(settle(_scan(keyed, held), "decontaminate-hits"))
+        held.destroy()
     if blocks == 1:
         scanned = scans[0]
     else:
@@ -237,7 +239,7 @@ def find_contamination(
         a, b = whole.alias("a"), merged.alias("b")
         same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))
         scanned = a.join(b, same, "left").select("a.doc_id", "a.key", "n_words", "hits", "reps")
-    scanned = settle(scanned, "decontaminate-hits")
+        scanned = settle(scanned, "decontaminate-merged")
     items = (
         scanned.where("size(reps) > 0")
         .select("doc_id", "key", F.explode("reps").alias("window"))
