@@ -46,7 +46,7 @@ HARMLESS_PARTS = {"count", "len", "length", "limit", "max", "min", "name", "type
 PLACEHOLDER = re.compile(r"(?ai)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|\*\*\*|redacted|^(none|null|true|false|todo)$|^[<{$%].*[>}%]?$")
 THRESHOLD = 1.3
 SHORTEST = 8
-PIECES = 64  # a value gathered from more literals is data, not a written-down constant
+PLACEHOLDER_CHARS = 4096  # a longer value is nobody's placeholder
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 # A bare value ends before an operator, but for the two = that may pad Base64.
@@ -69,6 +69,58 @@ class Literal(NamedTuple):
     quoted: bool
 
 
+class Value:
+    """What a name stands for: literals and other values, in order; shared and never copied."""
+
+    __slots__ = ("parts", "size", "counts", "marked")
+
+    def __init__(self, parts: list[Literal | Value]):
+        self.parts = parts
+        self.size = sum(x.size if isinstance(x, Value) else len(x.value) for x in parts)
+        self.counts: Counter | None = None
+        self.marked = False
+
+    def measure(self) -> Counter:
+        """Characters of the whole value; each value is counted once."""
+        stack = [self]
+        while stack:
+            top = stack[-1]
+            waiting = [x for x in top.parts if isinstance(x, Value) and x.counts is None]
+            if waiting and top.counts is None:
+                stack += waiting
+                continue
+            stack.pop()
+            if top.counts is None:
+                counts = Counter()
+                for x in top.parts:
+                    counts.update(x.counts if isinstance(x, Value) else x.value)
+                top.counts = counts
+        return self.counts
+
+    def text(self) -> str:
+        """The value itself; for short ones."""
+        stack, found = [self], []
+        while stack:
+            top = stack.pop()
+            if not isinstance(top, Value):
+                found.append(top.value)
+            elif top.size:
+                stack += reversed(top.parts)
+        return "".join(found)
+
+    def mark(self, spans: set[tuple[int, int]]) -> None:
+        """Add the literals' places; what has been marked before is passed over."""
+        stack = [self]
+        while stack:
+            top = stack.pop()
+            if not isinstance(top, Value):
+                if top.end > top.start:
+                    spans.add((top.start, top.end))
+            elif not top.marked:
+                top.marked = True
+                stack += top.parts
+
+
 @lru_cache(maxsize=4096)
 def name_score(name: str) -> float:
     """0 for a harmless name, up to 1 for one that says it holds a secret."""
@@ -83,17 +135,26 @@ def name_score(name: str) -> float:
 
 def value_score(value: str) -> float:
     """0 to 1 by length, mixture of characters and entropy; 0 for a placeholder."""
-    n = len(value)
-    if n < SHORTEST or PLACEHOLDER.search(value):
+    if len(value) < SHORTEST or len(value) <= PLACEHOLDER_CHARS and PLACEHOLDER.search(value):
         return 0.0
-    counts = Counter(value)
+    return _mixture_score(len(value), Counter(value))
+
+
+def _mixture_score(n: int, counts: Counter) -> float:
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9\\s]"))
+    letters = "".join(counts)
+    kinds = sum(bool(re.search(p, letters)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9\\s]"))
     spaces = sum(counts[c] for c in " \t\n") / n
     score = min(n, 32) / 32 * 0.3 + min(entropy, 4.5) / 4.5 * 0.5 + (kinds - 2) * 0.15
     return max(0.0, min(1.0, score - 2 * spaces))
 
 
+def _worth(value: Value) -> float:
+    if value.size <= PLACEHOLDER_CHARS:
+        return value_score(value.text())
+    return _mixture_score(value.size, value.measure())
+
+
 def assignments(text: str) -> Iterator[tuple[str, list[Literal]]]:
     """(name, terms) of each statement, left to right; a bare term may be another name."""
     at = 0
@@ -121,26 +182,25 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Literals that reach a sensitive name, by start; positions are code points."""
     if ":" not in text and "=" not in text:
         return []
-    bound: dict[str, tuple[Literal, ...]] = {}
+    bound: dict[str, Value] = {}
     spans: set[tuple[int, int]] = set()
     for name, terms in assignments(text):
-        meant: list[Literal] = []
+        meant: list[Literal | Value] = []
         for term in terms:
             alias = None if term.quoted else _IS_NAME.match(term.value)
             if alias and alias[1] not in bound and "." in term.value and not re.search("[0-9]", term.value):
                 continue  # an attribute of something that the text does not define
-            meant += bound.get(alias[1], (term,)) if alias else (term,)
+            meant.append(bound.get(alias[1], term) if alias else term)
+        meant = list(dict.fromkeys(x for x in meant if not isinstance(x, Value) or x.size))
         if not meant:
             continue
-        meant = list(dict.fromkeys(meant))
-        if len(meant) > PIECES:
-            meant = [x for x in terms if x.quoted]
-        bound[name] = tuple(meant)
+        value = meant[0] if len(meant) == 1 and isinstance(meant[0], Value) else Value(meant)
+        bound[name] = value
         sensitive = name_score(name)
         if sensitive:
-            worth = value_score("".join(x.value for x in meant))
+            worth = _worth(value)
             if worth and sensitive + worth >= THRESHOLD:
-                spans.update((x.start, x.end) for x in meant if x.end > x.start)
+                value.mark(spans)
     return sorted(spans)
 
 

@@ -80,3 +80,13 @@ def test_table_and_odd_rows(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert got[:2] == [(1, 0, 0, 0, empty, "")] * 2 and got[2][1] == 1
     assert find_secrets(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["password", "private_key"])
+def test_values_of_many_pieces_reach_the_name(name):
+    pieces = [f"aB{k:03d}x/Q" for k in range(70)]
+    joined = "blob = " + " + ".join(f'"{x}"' for x in pieces) + f"\n{name} = blob\n"
+    added = 'blob = ""\n' + "".join(f'blob = blob + "{x}"\n' for x in pieces) + f"{name} = blob\n"
+    assert values(joined) == pieces and values(added) == pieces
+    many = "".join(f's = s + "aB{k:05d}x/Q"\n' for k in range(3000)) + f"{name} = s\n"
+    assert len(values(many)) >= 3000
