@@ -43,7 +43,11 @@ NAME_SCORES = {
 }
 PAIR_SCORES = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("auth", "key"): 0.9}
 HARMLESS_PARTS = {"count", "len", "length", "limit", "max", "min", "name", "type", "id", "url", "path", "file", "size", "index", "public"}
-PLACEHOLDER = re.compile(r"(?ai)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|\*\*\*|redacted|^(none|null|true|false|todo)$|^[<{$%].*[>}%]?$")
+# Words count as whole parts of a value only; a template needs its closing character.
+PLACEHOLDER = re.compile(
+    r"(?ai)(?<![a-z0-9])(?:example|sample|dummy|placeholder|changeme|redacted)(?![a-z0-9])|^your[_-]|^x{4,}$|(?<![a-z0-9])x{4,}(?![a-z0-9])"
+    r"|^\*{3,}$|^(?:none|null|true|false|todo)$|^\$[a-z_]\w*$|^\$\{[a-z_]\w*\}$|^\$\([^()]*\)$|^%\w+%$|^%\(\w+\)s$|^<[^<>]*>$|^\{\{.*\}\}$|^\{[a-z_]\w*\}$"
+)
 THRESHOLD = 1.3
 SHORTEST = 8
 PLACEHOLDER_CHARS = 4096  # a longer value is nobody's placeholder

@@ -90,3 +90,13 @@ def test_values_of_many_pieces_reach_the_name(name):
     assert values(joined) == pieces and values(added) == pieces
     many = "".join(f's = s + "aB{k:05d}x/Q"\n' for k in range(3000)) + f"{name} = s\n"
     assert len(values(many)) >= 3000
+
+
+@pytest.mark.parametrize("value", ["$2b$12$abcdEFGH0123ijkLMN", "$argon2id$v=19$m=65536$c2FsdHNhbHQ$Zk9", "%9Kd!fpQz71", "{cipher}AB12cd34ef", "<8Kd!fpQz71x", "q7Example9ZsampleK2x!"])
+def test_secrets_that_look_like_the_start_of_a_template(value):
+    assert values(f'password = "{value}"') == [value]
+
+
+@pytest.mark.parametrize("value", ["${DB_PASSWORD}", "$DB_PASSWORD_1", "%DB_PASSWORD1%", "<your Password1>", "{{ vault.Password1 }}", "{Password_1}", "my-example-Passw0rd", "xxxxxxxxxxxx"])
+def test_placeholders_are_no_secrets(value):
+    assert values(f'password = "{value}"') == []
