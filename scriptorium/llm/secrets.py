@@ -128,7 +128,7 @@ class Value:
 @lru_cache(maxsize=4096)
 def name_score(name: str) -> float:
     """0 for a harmless name, up to 1 for one that says it holds a secret."""
-    parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name[-200:])
+    parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)
     low = [p.lower() for p in parts]
     score = max((NAME_SCORES.get(p, 0.0) for p in low), default=0.0)
     score = max([score, *(PAIR_SCORES.get(p, 0.0) for p in zip(low, low[1:], strict=False))])

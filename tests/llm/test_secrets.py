@@ -100,3 +100,7 @@ def test_secrets_that_look_like_the_start_of_a_template(value):
 @pytest.mark.parametrize("value", ["${DB_PASSWORD}", "$DB_PASSWORD_1", "%DB_PASSWORD1%", "<your Password1>", "{{ vault.Password1 }}", "{Password_1}", "my-example-Passw0rd", "xxxxxxxxxxxx"])
 def test_placeholders_are_no_secrets(value):
     assert values(f'password = "{value}"') == []
+
+
+def test_the_whole_of_a_long_name_counts():
+    assert values("password." + "a." * 150 + 'b = "S3cr3tP4ss!"') == ["S3cr3tP4ss!"]
