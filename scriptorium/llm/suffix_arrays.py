@@ -73,7 +73,8 @@ def common_prefixes(order: np.ndarray, words: np.ndarray, limit: int) -> np.ndar
         if i[-1] >= n:
             lanes, i, h = lanes[:-1], i[:-1], h[:-1]
         k = before[i]
-        h = np.where(k < 0, 0, np.maximum(h - 1, 0))
+        known = (h < limit) | (k == before[i - 1] + 1) if step else np.zeros(len(i), bool)
+        h = np.where((k < 0) | ~known, 0, np.maximum(h - 1, 0))
         todo = np.flatnonzero(k >= 0)
         while len(todo):
             a, b = i[todo] + h[todo], k[todo] + h[todo]

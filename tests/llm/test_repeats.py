@@ -32,6 +32,23 @@ def test_order_and_common_prefixes():
         assert common_prefixes(order, words, 50).tolist() == lcp
 
 
+def test_common_prefixes_of_a_partial_order():
+    """Repeats far over the refined depth: ties stay in order of position, and no prefix may be overstated."""
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        base = rng.integers(97, 99, 900).astype(np.uint8)
+        other = base.copy()
+        other[rng.integers(300, 900, 3)] ^= 1
+        parts = [base, rng.integers(97, 99, rng.integers(1, 40)).astype(np.uint8), other[: rng.integers(500, 900)], base[rng.integers(0, 300) :], other]
+        data = np.concatenate([parts[k] for k in rng.permutation(5)])
+        raw = data.tobytes()
+        order, words = suffix_array(data, 400)
+        shared = common_prefixes(order, words, 400)
+        for (a, b), h in zip(zip(order.tolist(), order[1:].tolist()), shared[1:].tolist()):
+            same = raw[a : a + 400] == raw[b : b + 400] and max(a, b) + 400 <= len(raw)
+            assert (h >= 400) == same, (trial, a, b, h)
+
+
 def test_runs_cover_every_start_and_equal_strings_share_anchors():
     rng = random.Random(1)
     base = bytes(rng.choices(b"ab", k=900))
