@@ -36,7 +36,7 @@ from scriptorium.llm.suffix_arrays import common_prefixes, repeated_classes, suf
 LENGTH = 400
 GRAM = 200
 SHARD_BYTES = 2 << 20
-SHARD_CONTEXTS = 2000  # contexts of one anchor hash that one shard takes
+SHARD_CONTEXTS = 200  # contexts of one anchor hash that one shard takes
 PIECE_BYTES = 1 << 20
 _NO_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 28) - 1)
