@@ -14,6 +14,7 @@ from scriptorium.llm.mixing import mixture
 from scriptorium.llm.quality import quality_report
 from scriptorium.llm.repeats import repeat_report
 from scriptorium.llm.secrets import find_secrets
+from scriptorium.llm.sentence_pieces import piece_report
 from scriptorium.llm.sharding import shard_report
 from scriptorium.llm.simhash import near_duplicates
 from scriptorium.llm.token_files import token_report
@@ -71,6 +72,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("problems", F.array_join("problems", ","))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and digests of every document's piece ids, and of the text decoded from them."""
+    return piece_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
     "op10_chat_formatting": op10_chat_formatting,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 _OP2_SQL = r"""
