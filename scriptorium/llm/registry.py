@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.chat import format_chat
+from scriptorium.llm.collocations import collocations
 from scriptorium.llm.common import read_table
 from scriptorium.llm.decontaminate import contamination_report
 from scriptorium.llm.mixing import mixture
@@ -72,6 +73,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("problems", F.array_join("problems", ","))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of every language."""
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and digests of every document's piece ids, and of the text decoded from them."""
     return piece_report(read_table(spark, sf_dir, "documents"))
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
@@ -194,7 +201,35 @@ SELECT conv_id, turn, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
 FROM conversations
 """
 
+_OP11_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+gram AS (
+  SELECT lang, size, array_to_string(w[at : at + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS at FROM piece, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM gram GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 30),
+cut AS (SELECT *, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : ], ' ') AS tail
+  FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM c)),
+scored AS (
+  SELECT cut.*, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[at : at + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(generate_series(1, size - m + 1)) AS at
+    FROM (SELECT *, unnest(generate_series(2, size - 1)) AS m FROM c WHERE size > 2)) GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang)
+WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_phrase_collocations": _OP11_SQL,
     "op2_benchmark_decontamination": _OP2_SQL,
     "op4_quality_rules": _OP4_SQL,
     "op6_mixing_sources": _OP6_SQL,
