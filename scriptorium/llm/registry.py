@@ -207,8 +207,8 @@ WITH piece AS (
   FROM (SELECT lang, unnest(string_split_regex(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
 gram AS (
-  SELECT lang, size, array_to_string(w[at : at + size - 1], ' ') AS phrase
-  FROM (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS at FROM piece, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size)),
+  SELECT lang, size, array_to_string(w[p : p + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS p FROM piece, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size)),
 f AS (SELECT lang, size, phrase, count(*) AS f FROM gram GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
 c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 30),
@@ -219,8 +219,8 @@ scored AS (
   FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail),
 lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inside AS (
-  SELECT lang, array_to_string(w[at : at + m - 1], ' ') AS phrase, max(a) AS longer
-  FROM (SELECT *, unnest(generate_series(1, size - m + 1)) AS at
+  SELECT lang, array_to_string(w[p : p + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(generate_series(1, size - m + 1)) AS p
     FROM (SELECT *, unnest(generate_series(2, size - 1)) AS m FROM c WHERE size > 2)) GROUP BY ALL),
 kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
 SELECT lang, rank, phrase, a, l, r, n, score FROM (
