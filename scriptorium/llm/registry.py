@@ -13,6 +13,7 @@ from scriptorium.llm.common import read_table
 from scriptorium.llm.decontaminate import contamination_report
 from scriptorium.llm.mixing import mixture
 from scriptorium.llm.quality import quality_report
+from scriptorium.llm.repair import repair_report
 from scriptorium.llm.repeats import repeat_report
 from scriptorium.llm.secrets import find_secrets
 from scriptorium.llm.sentence_pieces import piece_report
@@ -78,6 +79,11 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after damage."""
+    return repair_report(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and digests of every document's piece ids, and of the text decoded from them."""
     return piece_report(read_table(spark, sf_dir, "documents"))
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
