@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.schema import EXPECTED_COLUMNS, HEADER_TO_COLUMN, HEADER_TYPOS, ORDER_COLUMNS
+from scriptorium.sources.workbook import SUFFIXES as WORKBOOK_SUFFIXES
+from scriptorium.sources.workbook import read_workbook
 
 log = logging.getLogger(__name__)
 
@@ -111,10 +113,13 @@ def row_place(df: DataFrame, position: Column) -> Column:
 def read_source(spark: SparkSession, path: str) -> DataFrame:
     """One metadata source; the expected columns are strings, whatever its types.
 
-    Row order decides which duplicate is kept. A source that has a ``row_ordinal``
+    A path that ends with ``.parquet`` is a table, with ``.xlsx`` or ``.xlsm`` a
+    workbook, and any other CSV. Row order decides which duplicate is kept. A source that has a ``row_ordinal``
     column is ordered by it; any other by file name and place in the file.
     """
-    if path.rstrip("/").endswith(".parquet"):
+    if path.lower().endswith(WORKBOOK_SUFFIXES):
+        raw = read_workbook(spark, path, place=PLACE)
+    elif path.rstrip("/").endswith(".parquet"):
         rows = spark.read.parquet(path)
         raw = rows.select(*(F.col(f"`{c}`") for c in rows.columns), row_place(rows, F.col("_metadata.row_index")))
     else:
