@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.catalog import training_runs
-from scriptorium.catalog.training_runs import SETTINGS, corpus, movies, scorer, training, training_result, written_corpus, written_manifest, written_model
+from scriptorium.catalog.training_runs import SETTINGS, compared, corpus, movies, scorer, training, training_result, written_corpus, written_manifest, written_model
 from scriptorium.catalog.views import table, view
 from scriptorium.functions import coerce as C
 from scriptorium.functions import rating as R
@@ -649,10 +649,10 @@ def _checked(scored, *columns):
 
 
 def _trained(name):
-    """The test side under one model of the shared full-size training."""
+    """The test side under one model, trained at full size."""
 
     def run(spark, sf_dir):
-        predicted = training_result(spark, sf_dir).predictions.where(F.col("model") == name)
+        predicted = compared(spark, sf_dir, name).predictions
         return predicted.select("model", "script_file", "movie_name", "actual", F.col("predicted").between(1.0, 10.0).alias("in_range"))
 
     return run
@@ -692,7 +692,7 @@ _QUERIES["weighted_vs_unweighted"] = _QUERIES.pop("weighted_vs_unweighted_traini
 @query
 def load_model_predictions(spark, sf_dir):
     """Test documents, and whether the saved and reloaded model rates them as the fitted one did."""
-    result, data = training_result(spark, sf_dir), training(spark, sf_dir)
+    result, data = compared(spark, sf_dir, M.RIDGE), training(spark, sf_dir)
     again = predictions_of(scorer(spark, sf_dir).model, result.best, data.test).select("doc_key", F.col("predicted").alias("again"))
     before = result.predictions.where(F.col("model") == result.best)
     return before.join(again, "doc_key").select("doc_key", "script_file", (F.col("predicted") == F.col("again")).alias("same"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -113,6 +115,39 @@ def train_model(data: TrainingData, name: str, config: ModelConfig = REFERENCE_C
     return estimator(name, config, label_stats(data.train, "label", weight), weight).fit(data.train)
 
 
+def train_models(
+    data: TrainingData, config: ModelConfig = REFERENCE_CONFIG, use_weights: bool = True, names: Sequence[str] = MODEL_ORDER
+) -> dict[str, Model]:
+    """Fit the regressors side by side, each in a scheduler pool of its own.
+
+    A fit is a long row of small jobs, so one alone leaves cores idle between them. The
+    pools share the cores evenly if ``spark.scheduler.mode`` is FAIR. The feature table is
+    kept in memory (or on disk, where it does not fit) for all of them.
+    """
+    context = data.train.sparkSession.sparkContext
+    shared = TrainingData(data.train.persist(), data.test, data.manifest, data.featurizer)
+
+    def fit(name: str) -> Model:
+        context.setLocalProperty("spark.scheduler.pool", name)
+        return train_model(shared, name, config, use_weights)
+
+    try:
+        with ThreadPoolExecutor(len(names)) as threads:
+            waiting = {name: threads.submit(inheritable_thread_target(data.train.sparkSession)(fit), name) for name in names}
+            return {name: done.result() for name, done in waiting.items()}
+    finally:
+        shared.train.unpersist()
+
+
+def compare_models(data: TrainingData, models: Mapping[str, Model]) -> TrainingResult:
+    """Predict the test side with each fitted regressor, and pick the lowest RMSE."""
+    parts = [predictions_of(model, name, data.test) for name, model in models.items()]
+    predictions = settle(reduce(DataFrame.unionByName, parts), "predictions")
+    metrics = regression_metrics(predictions)
+    best = best_model(metrics, list(models)).first()
+    return TrainingResult(dict(models), predictions, metrics, best["model"], best.asDict())
+
+
 def train_and_compare(
     data: TrainingData,
     config: ModelConfig = REFERENCE_CONFIG,
@@ -120,12 +155,7 @@ def train_and_compare(
     names: Sequence[str] = MODEL_ORDER,
 ) -> TrainingResult:
     """Fit the regressors, predict the test side, pick the lowest RMSE."""
-    models = {name: train_model(data, name, config, use_weights) for name in names}
-    parts = [predictions_of(model, name, data.test) for name, model in models.items()]
-    predictions = settle(reduce(DataFrame.unionByName, parts), "predictions")
-    metrics = regression_metrics(predictions)
-    best = best_model(metrics, list(names)).first()
-    return TrainingResult(models, predictions, metrics, best["model"], best.asDict())
+    return compare_models(data, train_models(data, config, use_weights, names))
 
 
 def unweighted_metrics(data: TrainingData, config: ModelConfig = REFERENCE_CONFIG, names: Sequence[str] = MODEL_ORDER) -> DataFrame:

@@ -22,6 +22,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
     "spark.sql.session.timeZone": "UTC",
+    # models are fitted side by side, each in a pool of its own
+    "spark.scheduler.mode": "FAIR",
 }
 
 

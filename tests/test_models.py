@@ -6,7 +6,7 @@ from conftest import SMALL_CONFIG
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from scriptorium.catalog.training_runs import corpus, movies, scorer, training, training_result, written_corpus, written_manifest, written_model
+from scriptorium.catalog.training_runs import compared, corpus, movies, scorer, training, training_result, written_corpus, written_manifest, written_model
 from scriptorium.operators.split import train_test_split
 from scriptorium.plans import models as M
 from scriptorium.plans import scoring as S
@@ -105,7 +105,7 @@ def test_weights_flag_changes_the_fit(spark, sf_dir):
 
 
 def test_model_round_trip(spark, sf_dir):
-    result = training_result(spark, sf_dir)
+    result = compared(spark, sf_dir, M.RIDGE)
     loaded = load_model(spark, written_model(spark, sf_dir))
     assert loaded.name == result.best and loaded.metrics["rmse"] == result.best_metrics["rmse"]
     original = S.ScoringModel(result.best, result.models[result.best], training(spark, sf_dir).featurizer)
@@ -119,7 +119,7 @@ def test_model_round_trip(spark, sf_dir):
 
 def test_training_and_serving_features_agree(spark, sf_dir):
     """Scoring a test document with its own metadata repeats the training prediction."""
-    result = training_result(spark, sf_dir)
+    result = compared(spark, sf_dir, M.RIDGE)
     model = scorer(spark, sf_dir)
     loaded = load_dataset(movies(spark, sf_dir), corpus(spark, sf_dir))
     meta = train_test_split(loaded, "file_name").where("split = 'test'").join(model.featurizer.decades, "decade", "left")
