@@ -22,6 +22,7 @@ from scriptorium.operators import dedup, evaluate, gates, resolve, scale, split,
 from scriptorium.plans import dataset as D
 from scriptorium.plans import models as M
 from scriptorium.plans import scoring as S
+from scriptorium.plans.model_store import model_versions
 from scriptorium.plans.training import predictions_of, unweighted_metrics
 from scriptorium.schema import DEFAULTS, NUMERIC_FEATURES, ORDER_COLUMNS, TEXT_FEATURES
 from scriptorium.session import new_path, settle
@@ -135,7 +136,8 @@ def read_split_manifest(spark, sf_dir):
 
 @query
 def save_model(spark, sf_dir):
-    return _rounded(spark.read.parquet(f"{written_model(spark, sf_dir)}/vocabulary"), "idf")
+    path = written_model(spark, sf_dir)
+    return _rounded(spark.read.parquet(f"{path}/versions/{model_versions(spark, path)[-1]}/vocabulary"), "idf")
 
 
 @query

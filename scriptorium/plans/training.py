@@ -19,7 +19,8 @@ from scriptorium.operators.scale import Scaler, decade_codes, encode_decades, fi
 from scriptorium.operators.split import exact_train_test_split, train_test_split
 from scriptorium.operators.tfidf import TfidfModel, fit_tfidf, with_terms
 from scriptorium.operators.weights import sample_weights
-from scriptorium.plans.models import MODEL_ORDER, REFERENCE_CONFIG, ModelConfig, estimator, label_stats
+from scriptorium.plans.models import MODEL_ORDER, RANDOM_FOREST, REFERENCE_CONFIG, ModelConfig, estimator, label_stats
+from scriptorium.plans.pruning import with_min_split
 from scriptorium.schema import DEFAULTS, NUMERIC_FEATURES, Settings
 from scriptorium.session import settle
 
@@ -112,7 +113,8 @@ def predictions_of(model: Model, name: str, test: DataFrame) -> DataFrame:
 def train_model(data: TrainingData, name: str, config: ModelConfig = REFERENCE_CONFIG, use_weights: bool = True) -> Model:
     """Fit one of the four regressors on the training side."""
     weight = "weight" if use_weights else None
-    return estimator(name, config, label_stats(data.train, "label", weight), weight).fit(data.train)
+    model = estimator(name, config, label_stats(data.train, "label", weight), weight).fit(data.train)
+    return with_min_split(model, data.train.sparkSession, config.forest_min_split) if name == RANDOM_FOREST else model
 
 
 def train_models(
