@@ -89,15 +89,15 @@ def held(report: DataFrame) -> DataFrame:
     return report.sparkSession.createDataFrame(report.collect(), report.schema)
 
 
-def settle(df: DataFrame, label: str = "table", partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def settle(df: DataFrame, label: str = "table", partition_by: str | None = None, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, or to ``path``, and read it back.
 
     Cuts lineage before iterative fits; the copy outlives a lost executor and,
     being parquet, still prunes columns for each reader. Filters on the
     ``partition_by`` column then read only their own folder.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = path or new_path(spark, label)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
