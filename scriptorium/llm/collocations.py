@@ -9,10 +9,12 @@
    interval's width is the phrase's count, the words before and behind it are its left
    and right extensions.
 2. Sums. Counts of a phrase are added over all shards.
-3. Levels. A phrase can only be frequent if its words, and its pairs of words, are. The
-   words of the first pass, and the pairs of the second, are marked in a bitmap of fixed
-   size by their hashes; words and pairs without a mark split the sequence. A full bitmap
-   would only let more rows pass, never lose one.
+3. Levels. A phrase can only be frequent if its words, and its pairs of words, are. A
+   first pass counts words. A second sums the pairs of frequent words by their hashes, in
+   packed blocks of hash ranges, as most pairs are rare and need no text. Both are marked
+   in a bitmap of fixed size; words and pairs without a mark split the sequence that the
+   last pass counts, by text. Equal hashes and a full bitmap only let more rows pass,
+   they never lose one.
 """
 
 from __future__ import annotations
@@ -23,36 +25,51 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import settle, text_bytes
+from scriptorium.llm.repeats import Sums, mixed
 
 DEPTH = 4
 LEAST = 30
 BEST = 2000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
+BLOCK_PAIRS = 1 << 20  # pairs a task packs at a time
 BITMAP_BITS = 1 << 26
-SEED = 42  # of Spark's xxhash64
 NO_LANG = "und"
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ENDS + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(ENDS) + b" ")
 
 
+def word_hashes(langs: pa.Array, words: pa.Array) -> np.ndarray:
+    """64-bit hash of each (language, word)."""
+
+    def hashes(values: pa.Array) -> np.ndarray:
+        values = values.cast(pa.large_binary())
+        ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+        data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(values) else np.empty(0, np.uint8)
+        return Sums(data, 0).of(ends[:-1] - ends[0], ends[1:] - ends[0])
+
+    encoded = langs.dictionary_encode()
+    return mixed(hashes(words) + hashes(encoded.dictionary)[encoded.indices.to_numpy()])
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(first ^ ((second << np.uint64(17)) | (second >> np.uint64(47))))
+
+
 @dataclass
 class Shard:
     """Texts as word numbers from 1, separators 0; a word of two languages has two numbers."""
 
     ids: np.ndarray
-    words: list[bytes]  # the first stands for the separator
-    langs: list[str]
+    words: pa.Array  # the first stands for the separator
+    langs: pa.Array
 
     def hashes(self) -> np.ndarray:
-        """Spark's xxhash64 of (language, word)."""
-        seeds = {lang: xxhash.xxh64_intdigest(lang.encode(), SEED) for lang in set(self.langs)}
-        return np.fromiter((xxhash.xxh64_intdigest(w, seeds[k]) for w, k in zip(self.words, self.langs, strict=True)), np.uint64, len(self.words))
+        return word_hashes(self.langs, self.words)
 
 
 def shard_of(rows: list[tuple[str, bytes]]) -> Shard:
@@ -60,16 +77,21 @@ def shard_of(rows: list[tuple[str, bytes]]) -> Shard:
     by_lang: dict[str, list[bytes]] = {}
     for lang, text in rows:
         by_lang.setdefault(lang, []).append(text)
-    parts, words, langs = [np.zeros(1, np.int32)], [b""], [""]
+    none = pa.array([""], pa.large_string())
+    parts, words, langs, n = [np.zeros(1, np.int32)], [none], [none], 1
     for lang, texts in by_lang.items():
-        tokens = b"\n".join(texts).translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
-        found = list(set(tokens) - {b"", b"\n"})
-        number = dict(zip(found, range(len(words), len(words) + len(found)), strict=True)) | {b"": -1, b"\n": 0}
-        ids = np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens))
+        data = pa.py_buffer(b"\n".join(texts).translate(_PLAIN).replace(b"\n", b" \n "))
+        whole = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, data.size], np.int64)), data])
+        tokens = pc.split_pattern(whole, " ").flatten().dictionary_encode()
+        is_word = pc.invert(pc.is_in(tokens.dictionary, value_set=pa.array(["", "\n"], pa.large_string()))).to_numpy(zero_copy_only=False)
+        number = np.where(is_word, n - 1 + np.cumsum(is_word), -1).astype(np.int32)
+        number[pc.equal(tokens.dictionary, "\n").to_numpy(zero_copy_only=False)] = 0
+        ids = number[tokens.indices.to_numpy()]
         parts += [ids[ids >= 0], np.zeros(1, np.int32)]
-        words += found
-        langs += [lang] * len(found)
-    return Shard(np.concatenate(parts), words, langs)
+        words.append(tokens.dictionary.filter(pa.array(is_word)))
+        langs.append(pa.array([lang], pa.large_string()).take(pa.array(np.zeros(int(is_word.sum()), np.int32))))
+        n += int(is_word.sum())
+    return Shard(np.concatenate(parts), pa.concat_arrays(words), pa.concat_arrays(langs))
 
 
 @dataclass
@@ -103,30 +125,33 @@ class FMIndex:
     def __init__(self, ids: np.ndarray, joined: np.ndarray, depth: int):
         order = self._order(ids, depth)
         self.before = np.roll(ids, 1)[order]  # the transform
-        steps = np.argsort(self.before, kind="stable")
-        self.step = np.empty(len(ids), np.int64)  # a row's place after one step to the left
-        self.step[steps] = np.arange(len(ids))
-        self.joined = np.concatenate([[0], np.cumsum(joined[order])])
+        row = np.empty(len(ids), np.int32)
+        row[order] = np.arange(len(ids), dtype=np.int32)
+        self.step = np.roll(row, 1)[order]  # a row's place after one step to the left
+        self.joined = np.concatenate([[0], np.cumsum(joined[order], dtype=np.int32)])
 
     @staticmethod
     def _order(ids: np.ndarray, depth: int) -> np.ndarray:
         """Suffixes sorted by their first ``depth`` words or more, doubling the length each round."""
         rank, h = ids.astype(np.int64), 1
-        while True:
-            key = rank * (int(rank.max()) + 1) + np.roll(rank, -h) if h < depth else rank
-            order = np.argsort(key)
-            if h >= depth:
-                return order
-            rank = np.empty(len(ids), np.int64)
-            rank[order] = np.cumsum(np.concatenate([[False], np.diff(key[order]) != 0]))
-            h *= 2
+        order = np.argsort(rank) if depth == 1 else None
+        while h < depth:
+            key = rank * (int(rank.max()) + 1) + np.roll(rank, -h)
+            order, h = np.argsort(key), 2 * h
+            if h < depth:
+                key = key[order]
+                rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        return order
 
     def extended(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """How many rows of each interval have a word of their piece before them in the text."""
         return self.joined[high] - self.joined[low]
 
 
-def phrases_of(text: Sequence, n_words: int, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def phrases_of(text: Sequence, n_words: int, depth: int = DEPTH) -> Iterator[Level]:
     """Level by level (word numbers of each phrase, count, left extensions, right extensions)."""
     ids = text.ids
     if not ids.any():
@@ -135,73 +160,165 @@ def phrases_of(text: Sequence, n_words: int, depth: int = DEPTH) -> Iterator[tup
     count = np.bincount(ids, minlength=n_words)
     begin = np.cumsum(count) - count
     word = np.flatnonzero(count[1:]) + 1
-    count, low, back_low, words = count[word], begin[word], begin[word].copy(), word[:, None]
+    count, low, back_low, words = count[word], begin[word], begin[word].copy(), word[:, None].astype(np.int32)
     for level in range(1, depth + 1):
         yield words, count, ahead.extended(low, low + count), back.extended(back_low, back_low + count)
         if level == depth or not len(count):
             return
+        # every row of every interval, by interval and the word behind the phrase
         owner = np.repeat(np.arange(len(count)), count)
         first = np.cumsum(count) - count
-        place = np.arange(len(owner)) - first[owner] + back_low[owner]
-        following = back.before[place]
-        by = np.argsort(owner * np.int64(n_words) + following, kind="stable")
-        owner, following, place = owner[by], following[by], place[by]
-        heads = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(following) != 0)]))
-        sizes = np.diff(np.append(heads, len(owner)))
-        smaller = heads - first[owner[heads]]
-        real = following[heads] != 0
-        heads, sizes, smaller = heads[real], sizes[real], smaller[real]
-        parent = owner[heads]
-        low, back_low, count = low[parent] + smaller, back.step[place[heads]], sizes
-        words = np.concatenate([words[parent], following[heads][:, None]], axis=1)
+        place = np.arange(len(owner)) - (first - back_low)[owner]
+        key = owner * np.int64(n_words) + back.before[place]
+        by = np.argsort(key)
+        key, step = key[by], back.step[place[by]]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(heads, len(key)))
+        least = np.minimum.reduceat(step, heads)  # the rows of a phrase are neighbours: the least is its interval's first
+        parent, following = np.divmod(key[heads], n_words)
+        smaller = heads - first[parent]
+        real = following != 0
+        parent, following = parent[real], following[real].astype(np.int32)
+        low, back_low, count = low[parent] + smaller[real], least[real].astype(np.int64), sizes[real]
+        words = np.concatenate([words[parent], following[:, None]], axis=1)
+
+
+ROWS_A_BATCH = 100_000
+
+
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[Shard]:
+    waiting, size = [], 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py()
+            if waiting and size + len(text) > shard_bytes:
+                yield shard_of(waiting)
+                waiting, size = [], 0
+            waiting.append((lang, text))
+            size += len(text)
+    if waiting:
+        yield shard_of(waiting)
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), text_bytes().alias("data"))
+
+
+def _counted(documents: DataFrame, find: Callable[[Shard], Iterator[Level]], shard_bytes: int) -> DataFrame:
+    """(lang, phrase, size, f, lefts, rights) of the phrases that ``find`` gives, summed over all shards."""
 
+    def run(batches):
+        for shard in _shards(batches, shard_bytes):
+            for found, *counts in find(shard):
+                for at in range(0, len(found), ROWS_A_BATCH):
+                    some = found[at : at + ROWS_A_BATCH]
+                    columns = [shard.words.take(pa.array(some[:, k])) for k in range(some.shape[1])]
+                    phrase = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string()))
+                    yield pa.RecordBatch.from_arrays(
+                        [shard.langs.take(pa.array(some[:, 0])).cast(pa.string()), phrase.cast(pa.string()),
+                         pa.array(np.full(len(some), len(columns), np.int32)),
+                         *(pa.array(c[at : at + ROWS_A_BATCH].astype(np.int64)) for c in counts)],
+                        names=["lang", "phrase", "size", "f", "lefts", "rights"],
+                    )
+
+    parts = _texts(documents).mapInArrow(run, "lang string, phrase string, size int, f bigint, lefts bigint, rights bigint")
+    return parts.groupBy("lang", "phrase", "size").agg(*(F.sum(c).alias(c) for c in ("f", "lefts", "rights")))
 
-Finder = Callable[[Shard], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
+def _lanes(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
+    """(lane, bits): the 64-bit words of a bitmap that the hashes set."""
+    at = np.unique(hashes & np.uint64(bits - 1))
+    lane = (at >> np.uint64(6)).astype(np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
+    packed = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), heads)
+    return pa.RecordBatch.from_arrays([pa.array(lane[heads]), pa.array(packed.view(np.int64))], names=["lane", "bits"])
 
-def _counted(documents: DataFrame, find: Finder, shard_bytes: int) -> DataFrame:
-    """(lang, phrase, size, f, lefts, rights) of the phrases that ``find`` gives, summed over all shards."""
 
-    def emit(rows: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
-        shard = shard_of(rows)
-        words = pa.array(shard.words, pa.binary()).cast(pa.string())
-        langs = pa.array(shard.langs, pa.string())
-        for found, *counts in find(shard):
-            for at in range(0, len(found), 200_000):
-                some = found[at : at + 200_000]
-                columns = [words.take(pa.array(some[:, k])) for k in range(some.shape[1])]
-                phrase = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " ")
-                yield pa.RecordBatch.from_arrays(
-                    [langs.take(pa.array(some[:, 0])), phrase, pa.array(np.full(len(some), len(columns), np.int32)),
-                     *(pa.array(c[at : at + 200_000].astype(np.int64)) for c in counts)],
-                    names=["lang", "phrase", "size", "f", "lefts", "rights"],
-                )
+LANES = "lane bigint, bits bigint"
+
+
+def _bitmap(lanes: DataFrame, bits: int) -> Broadcast:
+    """The whole bitmap, of a size that does not depend on the data."""
+    packed = lanes.groupBy("lane").agg(F.bit_or("bits").alias("bits")).toArrow()
+    data = np.zeros(bits // 64, np.int64)
+    data[packed.column(0).to_numpy()] = packed.column(1).to_numpy()
+    return lanes.sparkSession.sparkContext.broadcast(data)
 
+
+def _word_lanes(words: DataFrame, bits: int) -> DataFrame:
     def run(batches):
-        waiting, size = [], 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if waiting and size + len(text) > shard_bytes:
-                    yield from emit(waiting)
-                    waiting, size = [], 0
-                waiting.append((lang, text))
-                size += len(text)
-        if waiting:
-            yield from emit(waiting)
-
-    texts = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), text_bytes().alias("data"))
-    parts = texts.mapInArrow(run, "lang string, phrase string, size int, f bigint, lefts bigint, rights bigint")
-    return parts.groupBy("lang", "phrase", "size").agg(*(F.sum(c).alias(c) for c in ("f", "lefts", "rights")))
+            if batch.num_rows:
+                yield _lanes(word_hashes(batch.column(0), batch.column(1)), bits)
 
+    return words.select("lang", "phrase").mapInArrow(run, LANES)
 
-def _bitmap(marks: DataFrame, place: Column, bits: int) -> Broadcast:
-    """A bitmap with a bit for each row's hash; its size is fixed, whatever the rows are."""
-    at = place.bitwiseAND(F.lit(bits - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    packed = marks.select(F.shiftright(at, 6).alias("lane"), bit.alias("bit")).groupBy("lane").agg(F.bit_or("bit").alias("bits")).toArrow()
-    data = np.zeros(bits // 64, np.int64)
-    data[packed.column(0).to_numpy()] = packed.column(1).to_numpy()
-    return marks.sparkSession.sparkContext.broadcast(data)
+
+def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and the sums of their counts."""
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    joined, weights = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(joined)
+    joined, weights = joined[order], weights[order]
+    heads = np.flatnonzero(np.concatenate([[True], joined[1:] != joined[:-1]]))
+    return joined[heads], np.add.reduceat(weights, heads)
+
+
+def _pair_lanes(documents: DataFrame, pairs: Callable[[Shard], tuple[np.ndarray, np.ndarray]], least: int, shard_bytes: int, bits: int) -> DataFrame:
+    """Bitmap lanes of the pairs that occur often enough, judged by their hashes alone.
+
+    A task sends a row for a range of hashes, with the sorted hashes and counts as bytes;
+    a range's rows are added up as they come.
+    """
+    spark = documents.sparkSession
+    ranges = 1 << max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4 - 1).bit_length()
+    shift = np.uint64(64 - (ranges.bit_length() - 1))
+
+    def block(hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        summed, weights = _summed(hashes, counts)
+        of = (summed >> shift).astype(np.int64)
+        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        cuts = list(zip(heads.tolist(), [*heads[1:].tolist(), len(of)], strict=True))
+        packed = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (summed, weights.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays([pa.array(of[heads].astype(np.int32)), *packed], names=["range", "hashes", "counts"])
+
+    def pack(batches):
+        hashes, counts, n = [], [], 0
+        for shard in _shards(batches, shard_bytes):
+            some, weights = pairs(shard)
+            hashes.append(some)
+            counts.append(weights)
+            n += len(some)
+            if n >= BLOCK_PAIRS:
+                yield block(hashes, counts)
+                hashes, counts, n = [], [], 0
+        if n:
+            yield block(hashes, counts)
+
+    def add(batches):
+        current, hashes, counts, n = None, [], [], 0
+
+        def result():
+            summed, weights = _summed(hashes, counts)
+            often = summed[weights >= least]
+            return [_lanes(often, bits)] if len(often) else []
+
+        for batch in batches:
+            for of, some, weights in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if of != current:
+                    yield from result()
+                    current, hashes, counts, n = of, [], [], 0
+                hashes.append(np.frombuffer(some.as_py(), np.uint64))
+                counts.append(np.frombuffer(weights.as_py(), np.uint32).astype(np.int64))
+                n += len(hashes[-1])
+                if n >= 4 * BLOCK_PAIRS and n > 2 * len(hashes[0]):
+                    summed, weights = _summed(hashes, counts)
+                    hashes, counts, n = [summed], [weights], len(summed)
+        yield from result()
+
+    packed = _texts(documents).mapInArrow(pack, "range int, hashes binary, counts binary")
+    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(add, LANES)
 
 
 def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -209,10 +326,6 @@ def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _pair_hash(first: Column, second: Column) -> Column:
-    return first.bitwiseXOR(F.shiftleft(second, 17).bitwiseOR(F.shiftrightunsigned(second, 47)))
-
-
 def frequent_phrases(
     documents: DataFrame, depth: int = DEPTH, least: int = LEAST, shard_bytes: int = SHARD_BYTES, bits: int = BITMAP_BITS
 ) -> tuple[DataFrame, DataFrame]:
@@ -234,38 +347,31 @@ def frequent_phrases(
     often = all_words.where(F.col("f") >= least)
     if depth < 2:
         return often, totals
-    word_marks = _bitmap(often, F.xxhash64("lang", "phrase"), bits)
+    word_marks = _bitmap(_word_lanes(often, bits), bits)
 
     def known_words(shard: Shard, hashes: np.ndarray) -> Sequence:
         known = _marked(word_marks.value, hashes)
         known[0] = False
         return Sequence.of(shard.ids).only(known)
 
-    def pairs(shard: Shard):
-        for level in phrases_of(known_words(shard, shard.hashes()), len(shard.words), 2):
-            if level[0].shape[1] == 2:
-                yield level
+    def pairs(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+        hashes = shard.hashes()
+        *_, (words, counts, _, _) = [(np.empty((0, 2), np.int32),) * 4, *phrases_of(known_words(shard, hashes), len(shard.words), 2)]
+        return pair_hashes(hashes[words[:, 0]], hashes[words[:, 1]]), counts.reshape(-1)
 
-    often_pairs = settle(_counted(documents, pairs, shard_bytes).where(F.col("f") >= least), "phrases-pairs")
-    if depth < 3:
-        return often.unionByName(often_pairs), totals
-    split = F.split("phrase", " ")
-    halves = (F.xxhash64("lang", split[k]) for k in (0, 1))
-    pair_marks = _bitmap(often_pairs, _pair_hash(*halves), bits)
+    pair_marks = _bitmap(_pair_lanes(documents, pairs, least, shard_bytes, bits), bits)
 
-    def longer(shard: Shard):
+    def phrases(shard: Shard):
         hashes = shard.hashes()
         text = known_words(shard, hashes)
-        ids = text.ids
-        first, second = hashes[ids[:-1]], hashes[ids[1:]]
-        turned = (second << np.uint64(17)) | (second >> np.uint64(47))
-        text = text.split((ids[:-1] == 0) | (ids[1:] == 0) | _marked(pair_marks.value, first ^ turned))
-        for level in phrases_of(text, len(shard.words), depth):
-            if level[0].shape[1] > 2:
+        first, second = text.ids[:-1], text.ids[1:]
+        marked = _marked(pair_marks.value, pair_hashes(hashes[first], hashes[second]))
+        for level in phrases_of(text.split((first == 0) | (second == 0) | marked), len(shard.words), depth):
+            if level[0].shape[1] > 1:
                 yield level
 
-    often_longer = settle(_counted(documents, longer, shard_bytes).where(F.col("f") >= least), "phrases-longer")
-    return often.unionByName(often_pairs).unionByName(often_longer), totals
+    several = settle(_counted(documents, phrases, shard_bytes).where(F.col("f") >= least), "phrases-several")
+    return often.unionByName(several), totals
 
 
 def collocations(

@@ -42,7 +42,7 @@ _NO_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 28) - 1)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -50,7 +50,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = [_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+_BYTES = [mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -71,7 +71,7 @@ class Sums:
         np.add.accumulate(_BYTES[table][data] * _powers(_BASE, len(data)), out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[ends] - self.sums[starts]) * _powers(_INVERSE, len(self.sums))[starts])
+        return mixed((self.sums[ends] - self.sums[starts]) * _powers(_INVERSE, len(self.sums))[starts])
 
 
 def _window_least(x: np.ndarray, width: int) -> np.ndarray:
