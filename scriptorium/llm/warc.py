@@ -57,10 +57,12 @@ class ArcRecord:
     body: bytes
     offset: int
     problem: str = ""
+    first: bool = False  # of its file
 
     @property
     def is_filedesc(self) -> bool:
-        return self.fields.get("URL", "").startswith("filedesc:")
+        """Whether this is the file's description of itself; such an address further on is a page like any other."""
+        return self.first and self.fields.get("URL", "").startswith("filedesc:")
 
 
 def arc_file(records: Iterable[tuple[str, str, str, str, bytes]], version: int = 1, name: str = "made.arc") -> bytes:
@@ -84,7 +86,7 @@ def arc_records(data: bytes) -> Iterator[ArcRecord]:
     problem ``truncated``. A line that is no header is given as a record with the
     problem ``header`` and an empty body, and reading goes on behind it.
     """
-    at, version = 0, 0
+    at, version, first = 0, 0, True
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):  # separators between records
             at += 1
@@ -101,15 +103,16 @@ def arc_records(data: bytes) -> Iterator[ArcRecord]:
             extra = len(values) - len(names)
             values = [" ".join(values[: extra + 1]), *values[extra + 1 :]]
         if len(values) < len(names) or not values[-1].isdigit():
-            yield ArcRecord(version, {"URL": " ".join(values)}, b"", at, "header")
-            at = end + 1
+            yield ArcRecord(version, {"URL": " ".join(values)}, b"", at, "header", first)
+            at, first = end + 1, False
             continue
         size = int(values[-1])
         body = data[end + 1 : end + 1 + size]
-        record = ArcRecord(version, dict(zip(names, values, strict=True)), body, at, "" if len(body) == size else "truncated")
+        record = ArcRecord(version, dict(zip(names, values, strict=True)), body, at, "" if len(body) == size else "truncated", first)
         yield record
         if record.is_filedesc:
             version = described
+        first = False
         at = end + 1 + size
 
 

@@ -94,3 +94,11 @@ def test_convert_arc_files(spark, tmp_path):
         with open(r.file.removeprefix("file://"), "rb") as source:
             kinds = [parse_warc(x).headers["WARC-Type"] for x in members(source)]
         assert kinds == ["warcinfo", "response", "response", "response"]
+
+
+def test_pages_with_the_address_of_a_description(spark):
+    """Only a file's first record describes it."""
+    rows = [(1, "http://a/", "x" * 120), (2, "filedesc://b", "y" * 120), (3, "http://c/", "y" * 120), (4, "filedesc:", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in page_archive(pages).collect())
+    assert got == [(1, "response", None, 120), (2, "response", None, 120), (3, "revisit", 2, 120), (4, "response", None, 0)]
