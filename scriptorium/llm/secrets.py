@@ -43,14 +43,16 @@ NAME_SCORES = {
 }
 PAIR_SCORES = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("auth", "key"): 0.9}
 HARMLESS_PARTS = {"count", "len", "length", "limit", "max", "min", "name", "type", "id", "url", "path", "file", "size", "index", "public"}
-# Words count as whole parts of a value only; a template needs its closing character.
+# Words count as whole parts of a literal only; a template needs its closing character.
+PLACEHOLDER_WORD = re.compile(
+    r"(?ai)(?<![a-z0-9])(?:(?:example|sample|dummy|placeholder|changeme|redacted)(?![a-z0-9])|x{4,}(?![a-z0-9]))"
+)
 PLACEHOLDER = re.compile(
-    r"(?ai)(?<![a-z0-9])(?:example|sample|dummy|placeholder|changeme|redacted)(?![a-z0-9])|^your[_-]|^x{4,}$|(?<![a-z0-9])x{4,}(?![a-z0-9])"
-    r"|^\*{3,}$|^(?:none|null|true|false|todo)$|^\$[a-z_]\w*$|^\$\{[a-z_]\w*\}$|^\$\([^()]*\)$|^%\w+%$|^%\(\w+\)s$|^<[^<>]*>$|^\{\{.*\}\}$|^\{[a-z_]\w*\}$"
+    r"(?ai)^your[_-]|^x{4,}$|^\*{3,}$|^(?:none|null|true|false|todo)$|^\$[a-z_]\w*$|^\$\{[a-z_]\w*\}$|^\$\([^()]*\)$|^%\w+%$|^%\(\w+\)s$"
+    r"|^<[^<>]*>$|^\{\{.*\}\}$|^\{[a-z_]\w*\}$"
 )
 THRESHOLD = 1.3
 SHORTEST = 8
-PLACEHOLDER_CHARS = 4096  # a longer value is nobody's placeholder
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 # A bare value ends before an operator, but for the two = that may pad Base64.
@@ -76,10 +78,12 @@ class Literal(NamedTuple):
 class Value:
     """What a name stands for: literals and other values, in order; shared and never copied."""
 
-    __slots__ = ("parts", "size", "counts", "marked")
+    __slots__ = ("parts", "size", "counts", "marked", "hollow")
 
     def __init__(self, parts: list[Literal | Value]):
         self.parts = parts
+        # a placeholder's word in any of the literals; each literal is searched once, where it is gathered
+        self.hollow = any(x.hollow if isinstance(x, Value) else bool(PLACEHOLDER_WORD.search(x.value)) for x in parts)
         self.size = sum(x.size if isinstance(x, Value) else len(x.value) for x in parts)
         self.counts: Counter | None = None
         self.marked = False
@@ -101,17 +105,6 @@ class Value:
                 top.counts = counts
         return self.counts
 
-    def text(self) -> str:
-        """The value itself; for short ones."""
-        stack, found = [self], []
-        while stack:
-            top = stack.pop()
-            if not isinstance(top, Value):
-                found.append(top.value)
-            elif top.size:
-                stack += reversed(top.parts)
-        return "".join(found)
-
     def mark(self, spans: set[tuple[int, int]]) -> None:
         """Add the literals' places; what has been marked before is passed over."""
         stack = [self]
@@ -139,7 +132,7 @@ def name_score(name: str) -> float:
 
 def value_score(value: str) -> float:
     """0 to 1 by length, mixture of characters and entropy; 0 for a placeholder."""
-    if len(value) < SHORTEST or len(value) <= PLACEHOLDER_CHARS and PLACEHOLDER.search(value):
+    if len(value) < SHORTEST or PLACEHOLDER_WORD.search(value) or PLACEHOLDER.search(value):
         return 0.0
     return _mixture_score(len(value), Counter(value))
 
@@ -154,9 +147,10 @@ def _mixture_score(n: int, counts: Counter) -> float:
 
 
 def _worth(value: Value) -> float:
-    if value.size <= PLACEHOLDER_CHARS:
-        return value_score(value.text())
-    return _mixture_score(value.size, value.measure())
+    """Score of a value: one literal by all rules, a joined one by its literals' words and its mixture, at any length."""
+    if len(value.parts) == 1 and not isinstance(value.parts[0], Value):
+        return value_score(value.parts[0].value)
+    return 0.0 if value.size < SHORTEST or value.hollow else _mixture_score(value.size, value.measure())
 
 
 def assignments(text: str) -> Iterator[tuple[str, list[Literal]]]:

@@ -104,3 +104,15 @@ def test_placeholders_are_no_secrets(value):
 
 def test_the_whole_of_a_long_name_counts():
     assert values("password." + "a." * 150 + 'b = "S3cr3tP4ss!"') == ["S3cr3tP4ss!"]
+
+
+def test_placeholders_of_any_length():
+    """No length changes which rules a value meets."""
+    noise = "aB3$" * 1100
+    for n in (40, 4096, 4097, 4400):
+        value = noise[:n]
+        assert lexed_spans(f'password = "{value}"') == [(12, 12 + n)]
+        for hollow in (f"example-{value[8:]}", f"{value[:-8]} xxxxxxx", f"<{value[2:]}>", f"${{{'v' * (n - 3)}}}"):
+            assert lexed_spans(f'password = "{hollow}"') == [], n
+        joined = f'a = "{value[:20]}" + "{value[20:]}"\npassword = a'
+        assert len(lexed_spans(joined)) == 2 and lexed_spans(joined.replace(value[20:], "-sample-" + value[20:])) == []
