@@ -161,18 +161,22 @@ class CachedEncoder:
 
     A single blank between two non-blank characters always ends a piece of a
     byte-level tokenizer, so a text is the sum of its blank-separated pieces and
-    frequent ones are looked up; new ones of many texts go to the library in one
-    call. Texts with other runs of blanks, or with a special token's string, go to
+    frequent ones are looked up; new ones go to the library laid end to end, some
+    hundred in one text, and the ids are cut where the pieces end, which the tokens'
+    byte lengths tell. Texts with other runs of blanks, or with a special token's string, go to
     the library whole. The memory is emptied when full.
     """
 
-    ENTRIES, PIECE_CHARS = 1_200_000, 64
+    ENTRIES, PIECE_CHARS, JOINED = 1_200_000, 64, 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character a byte
+        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         # piece -> its ids' bytes, or None if a text that has it must go whole
         self.inner: dict[str, bytes | None] = {}
         self.head: dict[str, bytes | None] = {}
@@ -180,22 +184,42 @@ class CachedEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, known: dict[str, bytes | None], pieces: set[str], lead: str) -> list[str]:
+    def _learn(self, known: dict[str, bytes | None], pieces: set[str], lead: str, special: bool) -> list[str]:
         """Encode the pieces not known; gives those too long to be remembered."""
-        new = [p for p in pieces if p not in known]
-        loose = [p for p in new if not p or (lead and p[0].isspace()) or p[-1].isspace() or any(s in p for s in self.special)]
+        new = list(pieces.difference(known))
+        loose = [p for p in new if not p or (p != p.strip() if lead else p[-1].isspace())]
+        if special:
+            loose += [p for p in new if any(s in p for s in self.special)]
         known.update(dict.fromkeys(loose))
-        left = [p for p in new if p not in known]
-        found = self.tokenizer.encode_batch_fast([lead + p for p in left], add_special_tokens=False)
-        known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(left, found, strict=True))
+        left = [p for p in new if p not in known] if loose else new
+        for at in range(0, len(left), self.JOINED):
+            some = left[at : at + self.JOINED]
+            known.update(zip(some, (self._joined(some, lead) if lead else None) or self._apart(some, lead), strict=True))
         return [p for p in new if len(p) > self.PIECE_CHARS]
 
+    def _apart(self, some: list[str], lead: str) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([lead + p for p in some], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _joined(self, some: list[str], lead: str) -> list[bytes] | None:
+        """The ids of each piece from one text of all; None if the tokens do not end where the pieces do."""
+        whole = "".join([lead + p for p in some])
+        ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum(np.fromiter((len(p.encode()) for p in some), np.int64, len(some)) + len(lead.encode()))
+        cuts = np.searchsorted(ends, wanted)
+        if not len(ends) or ends[-1] != wanted[-1] or (ends[cuts] != wanted).any():
+            return None
+        data, cuts = ids.tobytes(), (4 * (cuts + 1)).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.split(" ") for t in texts]
         heads = {s[0] for s in split}
         inner = set().union(*(s[1:] for s in split))
-        once = [(self.head, p) for p in self._learn(self.head, heads, "")]
-        once += [(self.inner, p) for p in self._learn(self.inner, inner, " ")]
+        special = any(s in t for t in texts for s in self.special)
+        once = [(self.head, p) for p in self._learn(self.head, heads, "", special)]
+        once += [(self.inner, p) for p in self._learn(self.inner, inner, " ", special)]
         spaced = [x for x in self.special if " " in x]
         out, get = [], self.inner.get
         for text, (head, *rest) in zip(texts, split, strict=True):
