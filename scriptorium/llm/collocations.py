@@ -10,11 +10,11 @@
    and right extensions.
 2. Sums. Counts of a phrase are added over all shards.
 3. Levels. A phrase can only be frequent if its words, and its pairs of words, are. A
-   first pass counts words. A second sums the pairs of frequent words by their hashes, in
-   packed blocks of hash ranges, as most pairs are rare and need no text. Both are marked
-   in a bitmap of fixed size; words and pairs without a mark split the sequence that the
-   last pass counts, by text. Equal hashes and a full bitmap only let more rows pass,
-   they never lose one.
+   first pass counts words, a second pairs, a third longer phrases; words and pairs that
+   are rare split the sequence of the next. Most phrases are rare and need no text, so the
+   second and third pass sum hashes, in packed blocks of hash ranges, and mark those that
+   occur often enough in bitmaps of fixed size. The last pass counts by text what is
+   marked. Equal hashes and a full bitmap only let more rows pass, they never lose one.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.llm.bitmaps import LANES, bitmap, lanes, marked
 from scriptorium.llm.common import settle, text_bytes
 from scriptorium.llm.repeats import Sums, mixed
 
@@ -36,7 +36,9 @@ DEPTH = 4
 LEAST = 30
 BEST = 2000
 SHARD_BYTES = 4 << 20
-BLOCK_PAIRS = 1 << 20  # pairs a task packs at a time
+BLOCK_HASHES = 1 << 20  # hashes a task packs at a time
+HASH_BYTES = 6  # that are sent, besides those that the range tells
+TOP_PARTS = 64  # in which a language's best are sought before they meet
 BITMAP_BITS = 1 << 26
 NO_LANG = "und"
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -60,6 +62,14 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first ^ ((second << np.uint64(17)) | (second >> np.uint64(47))))
 
 
+def phrase_hashes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hash of each row of word numbers, from left to right."""
+    out = hashes[words[:, 0]]
+    for k in range(1, words.shape[1]):
+        out = pair_hashes(out, hashes[words[:, k]])
+    return out
+
+
 @dataclass
 class Shard:
     """Texts as word numbers from 1, separators 0; a word of two languages has two numbers."""
@@ -149,6 +159,7 @@ class FMIndex:
 
 
 Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+NO_PHRASES: Level = (np.empty((0, 2), np.int32), *(np.empty(0, np.int64),) * 3)
 
 
 def phrases_of(text: Sequence, n_words: int, depth: int = DEPTH) -> Iterator[Level]:
@@ -225,31 +236,11 @@ def _counted(documents: DataFrame, find: Callable[[Shard], Iterator[Level]], sha
     return parts.groupBy("lang", "phrase", "size").agg(*(F.sum(c).alias(c) for c in ("f", "lefts", "rights")))
 
 
-def _lanes(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
-    """(lane, bits): the 64-bit words of a bitmap that the hashes set."""
-    at = np.unique(hashes & np.uint64(bits - 1))
-    lane = (at >> np.uint64(6)).astype(np.int64)
-    heads = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
-    packed = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), heads)
-    return pa.RecordBatch.from_arrays([pa.array(lane[heads]), pa.array(packed.view(np.int64))], names=["lane", "bits"])
-
-
-LANES = "lane bigint, bits bigint"
-
-
-def _bitmap(lanes: DataFrame, bits: int) -> Broadcast:
-    """The whole bitmap, of a size that does not depend on the data."""
-    packed = lanes.groupBy("lane").agg(F.bit_or("bits").alias("bits")).toArrow()
-    data = np.zeros(bits // 64, np.int64)
-    data[packed.column(0).to_numpy()] = packed.column(1).to_numpy()
-    return lanes.sparkSession.sparkContext.broadcast(data)
-
-
 def _word_lanes(words: DataFrame, bits: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield _lanes(word_hashes(batch.column(0), batch.column(1)), bits)
+                yield lanes(word_hashes(batch.column(0), batch.column(1)), bits)
 
     return words.select("lang", "phrase").mapInArrow(run, LANES)
 
@@ -265,8 +256,10 @@ def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return joined[heads], np.add.reduceat(weights, heads)
 
 
-def _pair_lanes(documents: DataFrame, pairs: Callable[[Shard], tuple[np.ndarray, np.ndarray]], least: int, shard_bytes: int, bits: int) -> DataFrame:
-    """Bitmap lanes of the pairs that occur often enough, judged by their hashes alone.
+def _frequent_lanes(
+    documents: DataFrame, find: Callable[[Shard], tuple[np.ndarray, np.ndarray]], least: int, shard_bytes: int, bits: int
+) -> DataFrame:
+    """Bitmap lanes of the hashes whose counts, as ``find`` gives them for each shard, reach ``least`` together.
 
     A task sends a row for a range of hashes, with the sorted hashes and counts as bytes;
     a range's rows are added up as they come.
@@ -280,17 +273,18 @@ def _pair_lanes(documents: DataFrame, pairs: Callable[[Shard], tuple[np.ndarray,
         of = (summed >> shift).astype(np.int64)
         heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         cuts = list(zip(heads.tolist(), [*heads[1:].tolist(), len(of)], strict=True))
-        packed = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (summed, weights.astype(np.uint32))]
+        sent = np.ascontiguousarray(summed.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])  # the lower bytes
+        packed = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (sent, weights.astype(np.uint32))]
         return pa.RecordBatch.from_arrays([pa.array(of[heads].astype(np.int32)), *packed], names=["range", "hashes", "counts"])
 
     def pack(batches):
         hashes, counts, n = [], [], 0
         for shard in _shards(batches, shard_bytes):
-            some, weights = pairs(shard)
+            some, weights = find(shard)
             hashes.append(some)
             counts.append(weights)
             n += len(some)
-            if n >= BLOCK_PAIRS:
+            if n >= BLOCK_HASHES:
                 yield block(hashes, counts)
                 hashes, counts, n = [], [], 0
         if n:
@@ -302,17 +296,19 @@ def _pair_lanes(documents: DataFrame, pairs: Callable[[Shard], tuple[np.ndarray,
         def result():
             summed, weights = _summed(hashes, counts)
             often = summed[weights >= least]
-            return [_lanes(often, bits)] if len(often) else []
+            return [lanes(often, bits)] if len(often) else []
 
         for batch in batches:
             for of, some, weights in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if of != current:
                     yield from result()
                     current, hashes, counts, n = of, [], [], 0
-                hashes.append(np.frombuffer(some.as_py(), np.uint64))
+                received = np.zeros((len(weights.as_py()) // 4, 8), np.uint8)
+                received[:, :HASH_BYTES] = np.frombuffer(some.as_py(), np.uint8).reshape(-1, HASH_BYTES)
+                hashes.append(received.view(np.uint64).reshape(-1))
                 counts.append(np.frombuffer(weights.as_py(), np.uint32).astype(np.int64))
                 n += len(hashes[-1])
-                if n >= 4 * BLOCK_PAIRS and n > 2 * len(hashes[0]):
+                if n >= 4 * BLOCK_HASHES and n > 2 * len(hashes[0]):
                     summed, weights = _summed(hashes, counts)
                     hashes, counts, n = [summed], [weights], len(summed)
         yield from result()
@@ -321,11 +317,6 @@ def _pair_lanes(documents: DataFrame, pairs: Callable[[Shard], tuple[np.ndarray,
     return packed.repartition("range").sortWithinPartitions("range").mapInArrow(add, LANES)
 
 
-def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(64 * len(bitmap) - 1)
-    return (bitmap.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 def frequent_phrases(
     documents: DataFrame, depth: int = DEPTH, least: int = LEAST, shard_bytes: int = SHARD_BYTES, bits: int = BITMAP_BITS
 ) -> tuple[DataFrame, DataFrame]:
@@ -347,28 +338,43 @@ def frequent_phrases(
     often = all_words.where(F.col("f") >= least)
     if depth < 2:
         return often, totals
-    word_marks = _bitmap(_word_lanes(often, bits), bits)
+    word_marks = bitmap(_word_lanes(often, bits), bits)
 
     def known_words(shard: Shard, hashes: np.ndarray) -> Sequence:
-        known = _marked(word_marks.value, hashes)
+        known = marked(word_marks.value, hashes)
         known[0] = False
         return Sequence.of(shard.ids).only(known)
 
     def pairs(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
         hashes = shard.hashes()
-        *_, (words, counts, _, _) = [(np.empty((0, 2), np.int32),) * 4, *phrases_of(known_words(shard, hashes), len(shard.words), 2)]
-        return pair_hashes(hashes[words[:, 0]], hashes[words[:, 1]]), counts.reshape(-1)
+        *_, (words, counts, _, _) = [NO_PHRASES, *phrases_of(known_words(shard, hashes), len(shard.words), 2)]
+        return phrase_hashes(hashes, words), counts
 
-    pair_marks = _bitmap(_pair_lanes(documents, pairs, least, shard_bytes, bits), bits)
+    pair_marks = bitmap(_frequent_lanes(documents, pairs, least, shard_bytes, bits), bits)
 
-    def phrases(shard: Shard):
+    def levels(shard: Shard) -> Iterator[tuple[np.ndarray, Level]]:
+        """Hashes of the phrases of each level from two words on, and the level."""
         hashes = shard.hashes()
         text = known_words(shard, hashes)
         first, second = text.ids[:-1], text.ids[1:]
-        marked = _marked(pair_marks.value, pair_hashes(hashes[first], hashes[second]))
-        for level in phrases_of(text.split((first == 0) | (second == 0) | marked), len(shard.words), depth):
+        known = marked(pair_marks.value, pair_hashes(hashes[first], hashes[second]))
+        for level in phrases_of(text.split((first == 0) | (second == 0) | known), len(shard.words), depth):
             if level[0].shape[1] > 1:
+                yield phrase_hashes(hashes, level[0]), level
+
+    def longer(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+        found = [(h, level[1]) for h, level in levels(shard) if level[0].shape[1] > 2]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    long_marks = bitmap(_frequent_lanes(documents, longer, least, shard_bytes, bits), bits) if depth > 2 else None
+
+    def phrases(shard: Shard) -> Iterator[Level]:
+        for hashes, level in levels(shard):
+            if level[0].shape[1] == 2:
                 yield level
+            else:
+                kept = marked(long_marks.value, hashes)
+                yield tuple(x[kept] for x in level)
 
     several = settle(_counted(documents, phrases, shard_bytes).where(F.col("f") >= least), "phrases-several")
     return often.unionByName(several), totals
@@ -404,8 +410,12 @@ def collocations(
     )
     most = inside.groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     whole = scored.join(most, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 5 < F.col("a") * 4))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = whole.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= best)
+    order = (F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
+    # the best of each part first: a language's last window sees a bounded number of rows
+    part_of = F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS)).alias("part")
+    in_parts = whole.select("*", part_of).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
+    ranked = in_parts.where(F.col("rank") <= best).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
+    ranked = ranked.where(F.col("rank") <= best)
     return ranked.join(totals, "lang").select(
         "lang", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score")
     )
