@@ -8,7 +8,8 @@ partitions at once, and splits only the intervals that are still too heavy, unti
 no interval holds more than ``tolerance`` of a shard. Splitters are the interval
 ends nearest to equal bytes. Only then do the rows move, once, to the interval
 they belong to; a shard is a run of intervals, and a row's slot is its interval's
-first slot plus its place inside it, numbered ``TASK_ROWS`` or so at a time.
+first slot plus its place inside it. An interval is numbered in cells of ``CELL_BYTES``
+or so, dealt by the hash of the id, so that a text that fills an interval is parted too.
 
 The driver sees at most ``shards / tolerance`` heavy intervals and ``FAN`` counts
 for each, whatever the table's size.
@@ -27,7 +28,8 @@ from scriptorium.llm.common import let, settle, text_bytes
 
 TOLERANCE = 0.01
 FAN_BITS = 6
-TASK_ROWS = 200_000
+CELL_BYTES = 64 << 20
+ID_BITS = 24
 LOW, BITS = -(1 << 63), 64
 
 
@@ -43,8 +45,8 @@ class Interval:
 
 def sort_key() -> Column:
     """40 bits of the text's hash, then 24 of the id's."""
-    text = F.xxhash64(text_bytes()).bitwiseAND(F.lit(-(1 << 24)))
-    return text.bitwiseOR(F.xxhash64(F.col("doc_id")).bitwiseAND(F.lit((1 << 24) - 1)))
+    text = F.xxhash64(text_bytes()).bitwiseAND(F.lit(-(1 << ID_BITS)))
+    return text.bitwiseOR(F.xxhash64(F.col("doc_id")).bitwiseAND(F.lit((1 << ID_BITS) - 1)))
 
 
 def _position(key: Column, starts: list[int]) -> Column:
@@ -93,6 +95,12 @@ def intervals(keyed: DataFrame, limit: int, total: tuple[int, int]) -> list[Inte
     return sorted(done, key=lambda i: i.start)
 
 
+def cell_of(key: Column, run: Column, cells: list[int]) -> Column:
+    """The run and one of its ``cells[run]`` cells, by the id's hash: equal texts are dealt over all of them."""
+    part = F.pmod(key.bitwiseAND(F.lit((1 << ID_BITS) - 1)), F.get(F.lit(cells), run)).cast("int")
+    return F.struct(run.alias("__run"), part.alias("__part"))
+
+
 def splitters(parts: list[Interval], shards: int) -> list[int]:
     """Index of the first interval of each shard after the first, nearest to equal bytes."""
     ends, total = [], 0
@@ -112,7 +120,7 @@ def shard_documents(documents: DataFrame, shards: int = 8, tolerance: float = TO
     """Every column of ``documents`` with ``shard``, ``slot`` and ``size``, shards nearly equal in bytes.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus one. Slots run from 0
-    without gaps in each shard, in key order. Equal texts stay together unless a
+    without gaps in each shard, interval by interval in key order. Equal texts stay together unless a
     splitter must fall inside their group to keep the shards equal. Rows alike in
     id and text have one key and are never parted. Columns named shard, slot or
     size that the input has are replaced. An empty table gives no rows.
@@ -137,25 +145,17 @@ def shard_documents(documents: DataFrame, shards: int = 8, tolerance: float = TO
         slots.append(at.get(shard, 0))
         at[shard] = slots[-1] + run.rows
     starts = [r.start for r in runs]
-    ends = [*starts[1:], 1 << 63]
-    tasks = max(1, -(-max((r.rows for r in runs), default=0) // TASK_ROWS))
-    widths = F.lit([float(e - b) for b, e in zip(starts, ends, strict=True)])
+    cells = [max(1, -(-r.size // CELL_BYTES)) for r in runs]
 
     def located(df: DataFrame, key: str) -> DataFrame:
-        """Adds the run and, by proportion of its key range, the part of it that one task numbers."""
-
-        def cell(run: Column) -> Column:
-            share = (F.col(key).cast("double") - F.get(F.lit([float(x) for x in starts]), run)) / F.get(widths, run)
-            part = F.least(F.floor(share * tasks), F.lit(tasks - 1)).cast("int")
-            return F.struct(run.alias("__run"), part.alias("__part"))
-
+        """Adds the run and the cell of it that one task numbers."""
         # generated, not aliased: a join on it must not carry these expressions to its other side
-        return df.select("*", F.inline(F.array(let(_position(F.col(key), starts), cell))))
+        return df.select("*", F.inline(F.array(let(_position(F.col(key), starts), lambda run: cell_of(F.col(key), run, cells)))))
 
     before = Window.partitionBy("__run").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = located(keyed, "key").groupBy("__run", "__part").agg(F.count(F.lit(1)).alias("n"))
     bases = counts.select("__run", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    # a few bytes for each ``TASK_ROWS`` rows, measured once written
+    # a few bytes for each cell, measured once written
     bases = settle(bases, "shard-bases")
     placed = located(measured, "__key").join(bases, ["__run", "__part"])
     place = F.row_number().over(Window.partitionBy("__run", "__part").orderBy("__key", "doc_id")) - 1

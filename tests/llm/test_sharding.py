@@ -3,8 +3,10 @@
 import collections
 import zlib
 
+from pyspark.sql import functions as F
+
 from scriptorium.llm.common import read_table
-from scriptorium.llm.sharding import LOW, intervals, shard_documents, shard_report, write_shards
+from scriptorium.llm.sharding import LOW, cell_of, intervals, shard_documents, shard_report, sort_key, write_shards
 
 
 def check(rows, shards=8, slack=0.02, biggest=0):
@@ -39,11 +41,20 @@ def test_a_group_of_a_third_is_parted_only_as_balance_needs(spark):
     assert shards == set(range(min(shards), max(shards) + 1))
 
 
-def test_small_tasks_number_alike(spark, monkeypatch):
+def test_small_cells_keep_shards_and_gapless_slots(spark, monkeypatch):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
-    whole = sorted(map(tuple, shard_report(docs).collect()))
-    monkeypatch.setattr("scriptorium.llm.sharding.TASK_ROWS", 3)
-    assert sorted(map(tuple, shard_report(docs).collect())) == whole
+    whole = {r.doc_id: r.shard for r in shard_report(docs).collect()}
+    monkeypatch.setattr("scriptorium.llm.sharding.CELL_BYTES", 700)
+    rows = shard_report(docs).collect()
+    check(rows, biggest=max(r["size"] for r in rows))
+    assert {r.doc_id: r.shard for r in rows} == whole
+
+
+def test_a_frequent_text_is_dealt_over_its_interval_s_cells(spark):
+    keyed = spark.range(200_000).selectExpr("id as doc_id", "if(id % 1000 = 0, 'copy', concat('text ', id)) as text").withColumn("key", sort_key())
+    cells = keyed.select("text", cell_of(F.col("key"), F.lit(0), [64]).alias("c")).groupBy("text", "c.__part").count().where("text = 'copy'")
+    sizes = [r["count"] for r in cells.collect()]
+    assert sum(sizes) == 200 and len(sizes) > 50 and max(sizes) < 15
 
 
 def test_odd_rows(spark, tmp_path):
