@@ -12,6 +12,9 @@ It is given as a sortable key (order_turn, order_level, order_kind, order_index)
 by peeling calls whose dependencies are placed, so that no conversation has to be
 gathered into one task. Arguments are validated against the tools' schemas and
 serialised as canonical JSON: sorted keys, no blanks.
+
+The text is parsed once for the links, which are ids and turns alone, and once for the
+rows that come out.
 """
 
 from __future__ import annotations
@@ -19,62 +22,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import checkpointed
+from scriptorium.llm.common import checkpointed, settle
+from scriptorium.llm.json_schema import violations
 
 _CALL = (
     "struct<id: string, name: string, arguments: string, depends_on: array<string>, "
     "function: struct<name: string, arguments: string>>"
 )
 _BODY = f"struct<content: string, tool_calls: array<{_CALL}>, tool_call_id: string>"
-# JSON Schema's type names, and the variant types that they admit.
-TYPES = {
-    "string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$", "boolean": "^BOOLEAN$",
-    "array": "^ARRAY.*$", "object": "^OBJECT.*$", "null": "^VOID$",
-}
-
-
-def tool_schemas(spark, schemas: dict[str, dict]) -> DataFrame:
-    """(tool, params, closed): parameters of each tool, from JSON Schema objects.
-
-    Read are ``properties`` with their ``type``, ``required`` and
-    ``additionalProperties``; a parameter without a known type admits any value.
-    """
-    rows = []
-    for tool, schema in schemas.items():
-        properties, required = schema.get("properties", {}), set(schema.get("required", ()))
-        params = [(p, TYPES.get(properties.get(p, {}).get("type"), ".*"), p in required) for p in sorted({*properties, *required})]
-        rows.append((tool, params, schema.get("additionalProperties", True) is False))
-    kinds = "tool string, params array<struct<name: string, pattern: string, required: boolean>>, closed boolean"
-    return spark.createDataFrame(rows, kinds)
-
-
 def _json(**fields: Column) -> Column:
     """Canonical JSON of an object: sorted keys, nulls kept."""
     parts = [fields[k].alias(k) for k in sorted(fields)]
     return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
 
 
-def _problems(arguments: Column, params: Column, closed: Column) -> Column:
-    """Names of what is wrong with the arguments, empty if they are valid."""
-    values = F.from_json(arguments, "map<string, variant>")
-    keys = F.map_keys(values)
-    missing = F.transform(
-        F.filter(params, lambda p: p["required"] & ~F.array_contains(keys, p["name"])), lambda p: F.concat(F.lit("missing:"), p["name"])
-    )
-    mistyped = F.transform(
-        F.filter(
-            params,
-            lambda p: F.array_contains(keys, p["name"]) & ~F.regexp_like(F.schema_of_variant(values[p["name"]]), p["pattern"]),
-        ),
-        lambda p: F.concat(F.lit("type:"), p["name"]),
-    )
-    names = F.transform(params, lambda p: p["name"])
-    extra = F.transform(
-        F.filter(F.array_sort(keys), lambda k: closed & ~F.array_contains(names, k)), lambda k: F.concat(F.lit("unknown:"), k)
-    )
-    return F.concat(missing, mistyped, extra)
-
-
 def _same_call(a: DataFrame, b: DataFrame) -> Column:
     return a["conv_id"].eqNullSafe(b["__conv"]) & (a["call_id"] == b["__call"])
 
@@ -128,11 +89,12 @@ def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Dat
     ``unanswered``, ``duplicate`` (an id used again: the earliest call keeps the links)
     or ``unnamed`` for calls; ``linked`` or ``orphan`` for results. ``problems`` lists
     what validation found, and is null for rows that are no call; without ``schemas``
-    only malformed arguments are reported, with them also unknown tools. A text that
+    only malformed arguments are reported, with them also unknown tools and what
+    ``json_schema.violations`` finds; a schema keyword that it does not read is a
+    ValueError. A text that
     is no JSON object is content as it stands; null text is null content. Repeated
     rows stay repeated. Null conv_ids are one conversation.
     """
-    spark = turns.sparkSession
     body = F.when(F.col("text").rlike(r"^\s*\{"), F.from_json("text", _BODY))
     base = turns.select("conv_id", "turn", "role", "text").withColumn("body", body)
     is_result = F.coalesce(F.col("role") == "tool", F.lit(False))
@@ -153,11 +115,13 @@ def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Dat
         "conv_id", "turn", "role", F.col("body.tool_call_id").alias("call_id"),
         F.when(F.col("body.tool_call_id").isNotNull(), F.col("body.content")).otherwise(F.col("text")).alias("content"),
     )
-    if calls.isEmpty() and results.isEmpty():  # nothing to link: the joins would only move empty tables
+    links = settle(calls.select("conv_id", "turn", "index", "call_id", "needs"), "chat-calls")
+    replies = settle(results.select("conv_id", "call_id"), "chat-results")
+    if links.isEmpty() and replies.isEmpty():  # nothing to link: the joins would only move empty tables
         return messages
-    places = checkpointed(_placed(calls))
-    firsts = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "index")).alias("first"))
-    answers = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("answers"))
+    places = checkpointed(_placed(links))
+    firsts = links.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "index")).alias("first"))
+    answers = replies.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("answers"))
     p = places.withColumnsRenamed({"conv_id": "__conv", "call_id": "__call"})
     f = firsts.withColumnsRenamed({"conv_id": "__conv", "call_id": "__call"})
     a = answers.withColumnsRenamed({"conv_id": "__conv", "call_id": "__call"})
@@ -166,12 +130,11 @@ def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Dat
     called = called.join(a, _same_call(called, a), "left").drop("__conv", "__call")
     variant = F.try_parse_json("raw")
     broken = variant.isNull() | ~F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
+    checked = F.array().cast("array<string>")
     if schemas is not None:
-        tools = tool_schemas(spark, schemas)
-        called = called.join(tools, called["name"] == tools["tool"], "left")
-        checked = F.when(F.col("tool").isNull(), F.array(F.lit("unknown_tool"))).otherwise(_problems(F.col("raw"), F.col("params"), F.col("closed")))
-    else:
-        checked = F.array().cast("array<string>")
+        checked = F.array(F.lit("unknown_tool"))
+        for tool, schema in schemas.items():
+            checked = F.when(F.col("name") == tool, violations(schema, variant)).otherwise(checked)
     cyclic = F.when(F.coalesce("cyclic", F.lit(False)), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>"))
     again = F.struct("turn", "index") > F.col("first")
     status = (

@@ -20,6 +20,7 @@ from scriptorium.llm.sentence_pieces import piece_report
 from scriptorium.llm.sharding import shard_report
 from scriptorium.llm.simhash import near_duplicates
 from scriptorium.llm.token_files import token_report
+from scriptorium.llm.tool_turns import SCHEMAS, tool_turns
 from scriptorium.llm.warc import page_archive
 
 
@@ -69,8 +70,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message, call and result of all conversations, in order keys and canonical JSON."""
-    rows = format_chat(read_table(spark, sf_dir, "conversations"))
+    """Every message, call and result of all conversations that call tools, in order keys and canonical JSON."""
+    turns = tool_turns(read_table(spark, sf_dir, "conversations"))
+    rows = format_chat(turns, SCHEMAS)
     return rows.withColumn("problems", F.array_join("problems", ","))
 
 
@@ -200,12 +202,43 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM page LEFT JOIN first USING (digest)
 """
 
-# The tables hold no tool calls, so their rows are all messages.
+# Written from the rules of the view alone: a call's place and links follow from the turns around it.
 _OP10_SQL = """
-SELECT conv_id, turn, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS name,
-  'message' AS status, CAST(NULL AS VARCHAR) AS problems, turn AS order_turn, 0 AS order_level, 0 AS order_kind, 0 AS order_index,
-  '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
-FROM conversations
+WITH t AS (
+  SELECT conv_id, turn, role, text, coalesce(text, '') AS said, (length(coalesce(text, '')) + coalesce(turn, 0)) % 8 AS mark FROM conversations),
+assistant AS (SELECT conv_id, turn, bool_and(mark = 6) AS cyclic FROM t WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY ALL),
+answer AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM t WHERE role = 'user' AND turn > 0),
+said AS (SELECT *, CAST(to_json(said) AS VARCHAR) AS q FROM t),
+message AS (
+  SELECT conv_id, turn, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS name, 'message' AS status,
+    CAST(NULL AS VARCHAR) AS problems, turn AS order_turn, 0 AS order_level, 0 AS order_kind, 0 AS order_index,
+    '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
+  FROM t),
+lookup AS (
+  SELECT s.conv_id, s.turn, role, 'call' AS kind, 'c' || s.turn AS call_id, CASE mark WHEN 0 THEN 'unlisted' ELSE 'lookup' END AS name,
+    CASE WHEN a.turn IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
+    CASE mark WHEN 0 THEN 'unknown_tool' WHEN 1 THEN 'missing:query' WHEN 2 THEN 'type:turn' WHEN 3 THEN 'unknown:extra'
+      WHEN 4 THEN 'arguments' WHEN 5 THEN 'enum:mode' ELSE '' END AS problems,
+    s.turn AS order_turn, 0 AS order_level, 1 AS order_kind, 0 AS order_index,
+    '{"arguments":' || CASE mark WHEN 1 THEN '{"turn":' || s.turn || '}' WHEN 2 THEN '{"query":' || q || ',"turn":"' || s.turn || '"}'
+      WHEN 3 THEN '{"extra":true,"query":' || q || ',"turn":' || s.turn || '}' WHEN 4 THEN '"no JSON"'
+      WHEN 5 THEN '{"mode":"fast","query":' || q || ',"turn":' || s.turn || '}' ELSE '{"query":' || q || ',"turn":' || s.turn || '}' END
+      || ',"id":"c' || s.turn || '","name":"' || CASE mark WHEN 0 THEN 'unlisted' ELSE 'lookup' END || '","role":"assistant","type":"tool_call"}' AS json
+  FROM said s LEFT JOIN answer a ON a.conv_id IS NOT DISTINCT FROM s.conv_id AND a.turn = s.turn WHERE role = 'assistant' AND s.turn IS NOT NULL),
+combine AS (
+  SELECT t.conv_id, t.turn, role, 'call' AS kind, 'd' || t.turn AS call_id, 'combine' AS name, 'unanswered' AS status,
+    CASE WHEN cyclic THEN 'cycle' ELSE '' END AS problems, t.turn AS order_turn, CASE WHEN cyclic THEN 0 ELSE 1 END AS order_level,
+    1 AS order_kind, 1 AS order_index,
+    '{"arguments":{"parts":["c' || t.turn || '","c' || (t.turn - 2) || '"]},"id":"d' || t.turn
+      || '","name":"combine","role":"assistant","type":"tool_call"}' AS json
+  FROM t JOIN assistant a ON a.conv_id IS NOT DISTINCT FROM t.conv_id AND a.turn = t.turn WHERE role = 'assistant'),
+result AS (
+  SELECT s.conv_id, s.turn, 'tool' AS role, 'result' AS kind, 'c' || (s.turn - 1) AS call_id, CAST(NULL AS VARCHAR) AS name,
+    CASE WHEN a.turn IS NULL THEN 'orphan' ELSE 'linked' END AS status, CAST(NULL AS VARCHAR) AS problems,
+    s.turn AS order_turn, 0 AS order_level, 2 AS order_kind, 0 AS order_index,
+    '{"content":' || q || ',"role":"tool","tool_call_id":"c' || (s.turn - 1) || '"}' AS json
+  FROM said s LEFT JOIN assistant a ON a.conv_id IS NOT DISTINCT FROM s.conv_id AND a.turn = s.turn - 1 WHERE role = 'user' AND s.turn > 0)
+SELECT * FROM message UNION ALL SELECT * FROM lookup UNION ALL SELECT * FROM combine UNION ALL SELECT * FROM result
 """
 
 _OP11_SQL = r"""

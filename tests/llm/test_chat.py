@@ -1,11 +1,16 @@
 """Chat formatting: linking, order, validation, canonical JSON."""
 
+import collections
 import json
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm.chat import ORDER, format_chat, write_chat
 from scriptorium.llm.common import read_table
+from scriptorium.llm.json_schema import violations
+from scriptorium.llm.registry import ORACLE_SQL, QUERIES
 
 SCHEMAS = {
     "search": {"properties": {"q": {"type": "string"}, "n": {"type": "integer"}}, "required": ["q"], "additionalProperties": False},
@@ -104,3 +109,50 @@ def test_table(spark, sf_dir):
 def test_no_python_in_the_plan(chat):
     plan = format_chat(chat([(1, 0, "assistant", assistant(call("a"))), (1, 1, "tool", result("a"))]), SCHEMAS)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_tool_turns_against_sql(spark, sf_dir, tmp_path):
+    rows = [
+        (None, 0, "assistant", "a"), (None, 1, "user", None), (None, 2, "assistant", None), (7, None, "assistant", "b"), (7, None, "user", "c"),
+        (7, 3, "user", "answers nobody"), (8, 1, "assistant", "fiveo"), (8, 1, "assistant", "six six"), (8, 2, "user", "\"q\"\\"), (8, 2, "user", "x"),
+        (9, 1, "assistant", "fiveo"), (9, 2, None, "null role"), (9, 3, "system", "é" * 70000),
+    ]
+    odd = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, kind string")
+    odd.write.parquet(f"{tmp_path}/odd/conversations.parquet")
+    odd.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    for folder, path in ((sf_dir, "conversations.parquet"), (f"{tmp_path}/odd", "conversations.parquet/*.parquet"), (f"{tmp_path}/none", "conversations.parquet/*.parquet")):
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/{path}'")
+        got = QUERIES["op10_chat_formatting"](spark, folder)
+        want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL['op10_chat_formatting']})").fetchall()
+        mine, theirs = (collections.Counter(map(tuple, x)) for x in (got.collect(), want))
+        assert not mine - theirs and not theirs - mine
+
+
+def test_schema_keywords(spark):
+    cases = [
+        ({"type": ["string", "null"]}, [('"a"', []), ("null", []), ("1", ["type:"])]),
+        ({"type": "integer"}, [("1.0", []), ("1.5", ["type:"]), ("true", ["type:"])]),
+        ({"enum": ["a", 1, [1, {"b": None}]]}, [('"a"', []), ("1.0", []), ('[1,{"b":null}]', []), ('"1"', ["enum:"])]),
+        ({"const": None}, [("null", []), ("0", ["const:"])]),
+        ({"minimum": 1, "exclusiveMaximum": 3, "multipleOf": 0.5}, [("1", []), ("2.5", []), ("3", ["exclusiveMaximum:"]), ("0.7", ["minimum:", "multipleOf:"]), ('"x"', [])]),
+        ({"minLength": 2, "maxLength": 3, "pattern": "^a"}, [('"ab"', []), ('"a"', ["minLength:"]), ('"bbbb"', ["maxLength:", "pattern:"]), ("5", [])]),
+        ({"items": {"type": "string"}, "minItems": 1, "uniqueItems": True}, [('["a"]', []), ("[]", ["minItems:"]), ('["a","a",1,2]', ["uniqueItems:", "type:[]"]), ("{}", [])]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, [('"a"', []), ("6", []), ("4", ["anyOf:"])]),
+        ({"oneOf": [{"minimum": 1}, {"maximum": 3}], "not": {"const": 0}}, [("5", []), ("2", ["oneOf:"]), ("0", ["not:"])]),
+        ({"allOf": [{"minimum": 1}, {"maximum": 3}]}, [("2", []), ("4", ["allOf:"])]),
+        (
+            {"properties": {"a": {"properties": {"b": {"type": "array", "items": {"required": ["c"]}}}, "required": ["b"]}}, "additionalProperties": {"type": "number"}},
+            [('{"a":{"b":[{"c":1}]},"z":2}', []), ('{"a":{}}', ["missing:a.b"]), ('{"a":{"b":[{"c":1},{},{}]}}', ["missing:a.b[].c"]), ('{"z":"q"}', ["type:*"]), ('{"a":null}', [])],
+        ),
+        ({"properties": {"a": {"type": "string"}}, "additionalProperties": False, "minProperties": 1}, [('{"b":1}', ["unknown:b"]), ("{}", ["minProperties:"]), ('{"a":null}', ["type:a"]), ('{"a":"x"}', [])]),
+        (False, [("1", ["false:"])]), (True, [("1", [])]), ({"title": "any"}, [("[]", [])]),
+    ]
+    for schema, values in cases:
+        df = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(values)], "k int, v string")
+        got = [r.found for r in df.select("k", violations(schema, F.try_parse_json("v")).alias("found")).orderBy("k").collect()]
+        assert got == [want for _, want in values], schema
+    with pytest.raises(ValueError):
+        violations({"$ref": "#/x"}, F.lit(None))
+    with pytest.raises(ValueError):
+        violations({"type": "text"}, F.lit(None))
