@@ -40,8 +40,8 @@ VOCABULARY_SCHEMA = T.StructType(
 
 
 def tokenize(cleaned: Column) -> Column:
-    """Tokens of two or more characters; cleaned text is ASCII."""
-    return F.regexp_extract_all(cleaned, F.lit("[abcdefghijklmnopqrstuvwxyz0123456789_]{2,}"), F.lit(0))
+    """Tokens of two or more characters; cleaned text is ASCII. Fixed value: the class of their characters."""
+    return F.regexp_extract_all(cleaned, F.lit("[a-z0-9_]{2,}"), F.lit(0))
 
 
 def remove_stop_words(tokens: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:
