@@ -9,18 +9,24 @@ share of the mixture in random order, and ``mix_key`` orders the whole.
 
 A large mean is the sum of ``parts`` independent Poisson draws of at most
 ``PART_MEAN`` each (the sum of Poisson variables is Poisson), so the tables of
-cumulative probabilities stay short at any rate. All is DataFrame expressions.
+cumulative probabilities stay short at any rate. A source of few and short documents
+may need very many copies of one: parts beyond ``RANGE_PARTS`` are drawn in ranges, dealt
+over all tasks, and a running sum over the ranges numbers the copies. All is DataFrame
+expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import let, settle
 
 SEED = 11
 PART_MEAN = 4.0
+RANGE_PARTS = 4096  # draws of one row in one task: about 16,000 copies
 TABLE = 40  # the chance of 40 or more at mean 4 is below 1e-25, under the resolution of a draw
 
 
@@ -66,39 +72,70 @@ def _cumulative(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TABLE - 1)), start, step, lambda acc: acc["all"])
 
 
+def _drawn(first: Column, last: Column) -> Column:
+    """The sum of a row's draws ``first`` to ``last``."""
+    draws = F.transform(
+        F.sequence(first, last),
+        lambda j: let(_uniform(F.col("__row"), j.cast("string")), lambda u: F.size(F.filter("__table", lambda c: c <= u))),
+    )
+    return F.aggregate(draws, F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+
+def _in_ranges(rows: DataFrame, range_parts: int) -> DataFrame:
+    """``rows`` once for each range of parts with a copy; adds ``__n`` and ``__start``.
+
+    Rows alike in id, text and source draw alike, so ranges are drawn for one of them.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given is not coalesced: rows are small, their work is not
+    width = F.lit(range_parts).cast("bigint")
+    ranges = rows.select("__row", "__source", "__parts", "__table").dropDuplicates(["__row", "__source"]).withColumn(
+        "__range", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__parts") - 1) / width)))
+    )
+    drawn = ranges.repartition(tasks, "__row", "__range").select(
+        "__row", "__source", "__range",
+        _drawn(F.col("__range") * width + 1, F.least((F.col("__range") + 1) * width, F.col("__parts"))).alias("__n"),
+    )
+    before = Window.partitionBy("__row", "__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = settle(drawn, "mix-ranges").withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    numbered = numbered.withColumnsRenamed({"__row": "__of", "__source": "__from"}).where("__n > 0")
+    same = (F.col("__row") == F.col("__of")) & F.col("__source").eqNullSafe(F.col("__from"))
+    return rows.join(numbered, same).repartition(tasks, "__row", "__range")
+
+
 def mix_sources(
-    documents: DataFrame, weights: dict[str | None, float] | None = None, total_chars: int | None = None, seed: int = SEED
+    documents: DataFrame,
+    weights: dict[str | None, float] | None = None,
+    total_chars: int | None = None,
+    seed: int = SEED,
+    range_parts: int = RANGE_PARTS,
 ) -> DataFrame:
     """Every column of ``documents``, each row as often as drawn, in global random order.
 
     Adds ``mix_copy`` (0, 1, ... within a row's copies) and ``mix_key`` (order of the
     mixture); a column of these names that the input has is replaced. Rows alike in
     doc_id and text draw alike. Null ids and texts are hashed as empty strings.
+    ``range_parts`` deals the work of a row with many copies, and changes no result. A row
+    of more than 2^31 copies is an error.
     """
     rates = source_rates(documents, weights, total_chars)
-    parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int")
-    tables = rates.select(
+    parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("bigint")
+    tables = settle(rates.select(
         F.col("source").alias("__source"), parts.alias("__parts"), _cumulative(F.col("rate") / parts).alias("__table")
-    )
+    ), "mix-tables")
     docs = documents.drop("mix_copy", "mix_key")
     names = docs.columns
     # a row a source: joined as AQE measures it, without moving documents while it is small
     drawn = docs.join(tables, docs["source"].eqNullSafe(tables["__source"])).withColumn(
         "__row", F.md5(F.concat_ws("|", F.lit(str(seed)), docs["doc_id"].cast("string"), F.md5(F.coalesce("text", F.lit("")))))
     )
-    count = F.aggregate(
-        F.transform(
-            F.sequence(F.lit(1), F.col("__parts")),
-            lambda j: let(
-                _uniform(F.col("__row"), j.cast("string")), lambda u: F.size(F.filter("__table", lambda c: c <= u))
-            ),
-        ),
-        F.lit(0),
-        lambda a, b: a + b,
-    )
-    copied = drawn.withColumn("__n", count).where("__n > 0").select(
-        *(docs[c] for c in names), "__row", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_copy")
-    )
+    one = F.lit(1).cast("bigint")
+    counted = [
+        drawn.where(F.col("__parts") <= range_parts).withColumn("__n", _drawn(one, F.col("__parts"))).where("__n > 0").withColumn("__start", one - 1)
+    ]
+    if not tables.where(F.col("__parts") > range_parts).isEmpty():
+        counted.append(_in_ranges(drawn.where(F.col("__parts") > range_parts), range_parts))
+    numbers = F.explode(F.sequence(F.col("__start").cast("int"), (F.col("__start") + F.col("__n") - 1).cast("int"))).alias("mix_copy")
+    copied = reduce(DataFrame.unionByName, [rows.select(*(docs[c] for c in names), "__row", numbers) for rows in counted])
     keyed = copied.withColumn("mix_key", F.md5(F.concat_ws("|", F.col("__row"), F.lit("order"), F.col("mix_copy").cast("string"))))
     return keyed.drop("__row").repartition("mix_key").sortWithinPartitions("mix_key")
 

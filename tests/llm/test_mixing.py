@@ -45,3 +45,16 @@ def test_weights_and_odd_rows(spark):
     assert by["b"] == by["c"] == 0 and 2 < by[None] / by["a"] < 4
     assert mix_sources(docs.limit(0)).count() == 0
     assert mix_sources(docs, {"nobody": 1.0}).count() == 0
+
+
+def test_ranges_of_parts_change_no_result(spark):
+    """One short document has to fill half the mixture; a repeated row and a text of two sources draw for themselves."""
+    rows = [(k, "word " * 40, "large") for k in range(300)] + [(900, "x", "tiny"), (900, "x", "tiny"), (900, "x", None), (901, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    names = ["doc_id", "text", "source", "mix_copy", "mix_key"]
+    whole, dealt = (sorted(map(repr, mix_sources(docs, range_parts=n).select(names).collect())) for n in (1 << 40, 7))
+    assert whole == dealt
+    copies = collections.Counter((r.source, r.mix_copy) for r in mix_sources(docs, range_parts=7).where("doc_id = 900").collect())
+    tiny = [n for (source, _), n in copies.items() if source == "tiny"]
+    assert len(tiny) > 1000 and set(tiny) == {2}  # both rows, numbered alike and without a gap
+    assert {c for s, c in copies if s == "tiny"} == set(range(len(tiny)))
