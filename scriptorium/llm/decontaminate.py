@@ -1,13 +1,17 @@
 """Benchmark decontamination with a broadcast hash set of test n-grams.
 
-The benchmark's windows are distinct word sequences, shared out into blocks of at
-most ``BLOCK_WINDOWS`` windows by a hash of the window. One block at a time is
+The benchmark's windows are distinct word sequences, shared out by a hash of the window
+into blocks of about ``BLOCK_WINDOWS`` windows or ``BLOCK_BYTES``, whichever asks for more blocks. One block at a time is
 sent to the tasks as a sorted array of hashes and the windows' text, so what a
 task holds has a bound whatever the benchmark's size; a benchmark over the bound
 costs further passes over the documents, not memory. A task hashes every token
 window of its documents with prefix sums over whole Arrow batches, looks the
 hashes up, and compares the words of each hit, so the result does not depend on
 the hash.
+
+Documents with the same representatives have the same items: those are gathered once
+for each set of representatives, not once a document, and the report joins their count
+and digest alone. Dropping documents and cutting spans need no items.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from scriptorium.llm.common import pieces, settle, text_bytes
 
 WINDOW_WORDS = 10
 BLOCK_WINDOWS = 500_000
+BLOCK_BYTES = 128 << 20  # of windows and representatives: words have no length limit
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd: it has an inverse modulo 2^64
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _W = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -204,20 +209,18 @@ def _scan(documents: DataFrame, block) -> DataFrame:
     )
 
 
-def find_contamination(
-    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS
-) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, hits, contaminated), one row per document row.
+def _scanned(
+    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n_words, hits, set, reps) of each document row, and the windows' items.
 
-    ``hits`` are the positions of hit words, ascending; ``items`` the ids with an
-    occurring window, as sorted strings. Null and wordless texts have no words and
-    no hits. An empty benchmark hits nothing.
+    ``set`` is a digest of the representatives; null where there are none.
     """
     spark = documents.sparkSession
     pairs = settle(benchmark_windows(benchmark, window), "decontaminate-pairs")
     windows = settle(represented(pairs), "decontaminate-windows")
-    total = windows.count()
-    blocks = max(1, -(-total // block_windows))
+    size = windows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("window") + F.octet_length("rep")).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // block_windows), -(-(size["bytes"] or 0) // block_bytes))
     numbered = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     # A row is told by its id and text, so that rows with equal ids stay apart.
     keyed = documents.select("doc_id", F.sha2(text_bytes(), 256).alias("key"), text_bytes().alias("data"))
@@ -240,36 +243,55 @@ def find_contamination(
         same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))
         scanned = a.join(b, same, "left").select("a.doc_id", "a.key", "n_words", "hits", "reps")
         scanned = settle(scanned, "decontaminate-merged")
-    items = (
-        scanned.where("size(reps) > 0")
-        .select("doc_id", "key", F.explode("reps").alias("window"))
-        .distinct()
-        .join(pairs, "window")
-        .groupBy("doc_id", "key")
+    hits = F.coalesce("hits", F.array().cast("array<int>")).alias("hits")
+    listed = F.array_join(F.transform(F.array_sort(F.array_distinct("reps")), F.hex), ",")
+    known = F.when(F.size("reps") > 0, F.sha2(listed, 256)).alias("set")
+    return scanned.select("doc_id", "key", "n_words", hits, known, "reps"), pairs
+
+
+def _item_sets(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(set, items): the sorted items of each set of representatives."""
+    sets = scanned.where("set is not null").select("set", "reps").dropDuplicates(["set"])
+    return (
+        sets.select("set", F.explode("reps").alias("window"))
+        .join(pairs.select("window", "item"), "window")
+        .groupBy("set")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    a, b = scanned.alias("a"), items.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))
-    hits = F.coalesce("a.hits", F.array().cast("array<int>"))
-    found = F.coalesce("b.items", F.array().cast("array<string>"))
-    return a.join(b, same, "left").select(
-        "a.doc_id", "a.key", "a.n_words", F.size(hits).cast("bigint").alias("n_hit"),
-        F.size(found).cast("bigint").alias("n_items"), found.alias("items"), hits.alias("hits"),
-        (F.size(hits) > 0).alias("contaminated"),
+
+
+def find_contamination(
+    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items, hits, contaminated), one row per document row.
+
+    ``hits`` are the positions of hit words, ascending; ``items`` the ids with an
+    occurring window, as sorted strings. Null and wordless texts have no words and
+    no hits. An empty benchmark hits nothing.
+    """
+    scanned, pairs = _scanned(documents, benchmark, window, block_windows, block_bytes)
+    found = F.coalesce("items", F.array().cast("array<string>"))
+    return scanned.join(_item_sets(scanned, pairs), "set", "left").select(
+        "doc_id", "key", "n_words", F.size("hits").cast("bigint").alias("n_hit"),
+        F.size(found).cast("bigint").alias("n_items"), found.alias("items"), "hits", (F.size("hits") > 0).alias("contaminated"),
     )
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Counts and a digest of the items, one row per document."""
-    return find_contamination(documents, benchmark).select(
-        "doc_id", "n_words", "n_hit", "n_items",
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    scanned, pairs = _scanned(documents, benchmark)
+    sets = _item_sets(scanned, pairs).select(
+        "set", F.size("items").cast("bigint").alias("n"), F.sha2(F.concat_ws(",", "items"), 256).alias("digest")
+    )
+    return scanned.join(sets, "set", "left").select(
+        "doc_id", "n_words", F.size("hits").cast("bigint").alias("n_hit"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n_items"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without a hit word; every column stays."""
-    bad = find_contamination(documents, benchmark).where("contaminated").select(
+    bad = _scanned(documents, benchmark)[0].where("size(hits) > 0").select(
         F.col("doc_id").alias("__bad_id"), F.col("key").alias("__bad_key")
     ).distinct()
     same = documents["doc_id"].eqNullSafe(bad["__bad_id"]) & (F.sha2(text_bytes(), 256) == bad["__bad_key"])
@@ -281,7 +303,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Blanks and marks around a run stay. Null stays null.
     """
-    found = find_contamination(documents, benchmark).where("contaminated").select(
+    found = _scanned(documents, benchmark)[0].where("size(hits) > 0").select(
         F.col("doc_id").alias("__bad_id"), F.col("key").alias("__bad_key"), F.col("hits").alias("__hits")
     ).dropDuplicates(["__bad_id", "__bad_key"])
     same = documents["doc_id"].eqNullSafe(found["__bad_id"]) & (F.sha2(text_bytes(), 256) == found["__bad_key"])

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from scriptorium.llm.common import read_table
-from scriptorium.llm.decontaminate import contamination_report, drop_contaminated, find_contamination, remove_spans
+from scriptorium.llm.decontaminate import _item_sets, _scanned, contamination_report, drop_contaminated, find_contamination, remove_spans
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -73,3 +73,19 @@ def test_removal(spark, odd):
     assert cut == {"It says: .", "A ! z"}
     assert drop_contaminated(docs, items.limit(0)).count() == docs.count()
     assert contamination_report(docs.limit(0), items).count() == 0
+
+
+def test_a_prompt_that_many_items_and_documents_share_is_gathered_once(spark):
+    prompt = "read the passage below and then answer each of the questions"
+    items = spark.createDataFrame([(i, f"{prompt} q{i}") for i in range(200)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"{prompt} doc {i}") for i in range(150)] + [(999, "none")], "doc_id bigint, text string")
+    assert _item_sets(*_scanned(docs, items)).count() == 1
+    rows = contamination_report(docs, items).collect()
+    assert sorted(map(tuple, rows), key=str) == brute(docs.collect(), items.collect())
+    assert {r.n_items for r in rows if r.doc_id < 999} == {200}
+
+
+def test_blocks_are_bounded_by_bytes(spark, odd):
+    docs, items = odd
+    whole = sorted(map(tuple, find_contamination(docs, items).drop("key").collect()), key=str)
+    assert sorted(map(tuple, find_contamination(docs, items, block_bytes=100).drop("key").collect()), key=str) == whole
