@@ -260,6 +260,12 @@ def _item_sets(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _with_sets(scanned: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each row with what its set has. Rows without a set, the most by far, enter no shuffle."""
+    hit = scanned.where("set is not null").join(sets, "set", "left")
+    return hit.unionByName(scanned.where("set is null"), allowMissingColumns=True)
+
+
 def find_contamination(
     documents: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -271,7 +277,7 @@ def find_contamination(
     """
     scanned, pairs = _scanned(documents, benchmark, window, block_windows, block_bytes)
     found = F.coalesce("items", F.array().cast("array<string>"))
-    return scanned.join(_item_sets(scanned, pairs), "set", "left").select(
+    return _with_sets(scanned, _item_sets(scanned, pairs)).select(
         "doc_id", "key", "n_words", F.size("hits").cast("bigint").alias("n_hit"),
         F.size(found).cast("bigint").alias("n_items"), found.alias("items"), "hits", (F.size("hits") > 0).alias("contaminated"),
     )
@@ -283,7 +289,7 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFram
     sets = _item_sets(scanned, pairs).select(
         "set", F.size("items").cast("bigint").alias("n"), F.sha2(F.concat_ws(",", "items"), 256).alias("digest")
     )
-    return scanned.join(sets, "set", "left").select(
+    return _with_sets(scanned, sets).select(
         "doc_id", "n_words", F.size("hits").cast("bigint").alias("n_hit"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n_items"),
         F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
