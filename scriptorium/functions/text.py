@@ -10,6 +10,8 @@ Each pattern is written to scan forward without backing up over long runs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase, digits
 
 from pyspark.sql import Column, DataFrame
@@ -54,7 +56,8 @@ SCENE_NUMBER = (
 # Single characters, not ranges: Java tests a class of single Latin-1 characters
 # with one table lookup, and ranges one after another (measured 8x slower).
 KEPT = ascii_lowercase + ascii_uppercase + digits + "'.,!?"
-NOT_KEPT = f"[^{KEPT}{WHITESPACE}]"
+# The wide spaces are looked at behind the few characters that the table lets through.
+NOT_KEPT = f"[^{KEPT}{_ASCII_SPACE}](?<![{_WIDE_SPACE}])"
 NOT_KEPT_RUN = f"[^{KEPT}]+"
 
 # A letters-only run from a line start: dropped when a colon ends it, put back
@@ -103,14 +106,25 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
+def _if_any(text: Column, sign: str, *steps: Callable[[Column], Column]) -> Column:
+    """The steps on a text that has ``sign``; any other has nothing for them to match.
+
+    The text is a lambda variable, so the steps before are computed once a row.
+    """
+
+    def guarded(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit(sign)), reduce(lambda out, step: step(out), steps, t)).otherwise(t)
+
+    return F.transform(F.array(text), guarded)[0]
+
+
 def clean_text(text: Column) -> Column:
     """All steps in order; the last two run as one replacement."""
     out = text_lower(text)
-    out = strip_brackets(out)
-    out = strip_parens(out)
-    out = strip_speakers(out)
-    out = strip_timestamps(out)
-    out = strip_scene_numbers(out)
+    out = _if_any(out, "[", strip_brackets)
+    out = _if_any(out, "(", strip_parens)
+    out = _if_any(out, ":", strip_speakers, strip_timestamps)
+    out = _if_any(out, "cene", strip_scene_numbers)
     out = strip_int_ext(out)
     return F.trim(F.regexp_replace(out, NOT_KEPT_RUN, " "))
 

@@ -127,3 +127,24 @@ def test_no_shuffle_and_pruned_scan(spark, sf_dir):
     plan = X.text_features(docs).drop("text", "lang")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "BatchEvalPython" not in plan and "ArrowEval" not in plan
     assert "lang" not in plan.split("ReadSchema")[1]
+
+
+def test_symbols_class_is_one_table(spark):
+    """Wide spaces stay, all else is replaced; the class itself has no ranges beyond Latin-1."""
+    assert "\\x{" not in X.NOT_KEPT.split("](?")[0]
+    rows = [(chr(c) + "a" + chr(c),) for c in [*range(1, 0x300), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), 0x2FFF, 0x3000, 0x3001, 0x1F600]]
+    plain = f"[^{X.KEPT}{X.WHITESPACE}]"
+    found = spark.createDataFrame(rows, "text string").select(X.strip_symbols(F.col("text")).alias("a"), F.regexp_replace("text", plain, " ").alias("b"))
+    assert found.where("a <> b").isEmpty()
+
+
+def test_clean_text_skips_steps_without_a_sign(spark):
+    """The guards change no result."""
+    texts = ["", "plain words", "[x] a", "(y) b", "BOB: hi 10:30 there", "scene 12 here", "SCENE 3: (z) [w]", "int. house", "\u017fcene 4", None]
+    plain = F.col("text")
+    for step in (X.text_lower, X.strip_brackets, X.strip_parens, X.strip_speakers, X.strip_timestamps, X.strip_scene_numbers, X.strip_int_ext):
+        plain = step(plain)
+    plain = F.trim(F.regexp_replace(plain, X.NOT_KEPT_RUN, " "))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.where(~X.clean_text(F.col("text")).eqNullSafe(plain)).isEmpty()
+    assert "contains" in df.select(X.clean_text(F.col("text")))._jdf.queryExecution().toString().lower()
