@@ -6,9 +6,13 @@ of the one and the first m - ceil(s m) + 1 of the other. Any order will do; shin
 that a sample finds often come last, so common lines stay out of the prefixes. Texts
 of equal words are folded to one key first.
 
+SimHash proposes first: fingerprints over the same shingles, within the operator's two bits
+by its covering tables. Two bits are far narrower than 0.8, so the join finds the rest.
+
 Texts that share a prefix shingle form a bucket; of buckets with the same members one is
-enough. Buckets are not paired in full: every member is compared with two centers, and
-where that leaves several components, with ten more, which joins the members of a group
+enough. Buckets are not paired in full: every text is first compared with two centers of
+its largest bucket, and so is every member of a bucket that this leaves in several
+components, with ten centers more if need be, which joins the members of a group
 of near copies; then only members of different components are paired, those outside of
 a bucket's largest component with all others. Left out are pairs already connected, so
 the components are those of all pairs. Candidates pass an upper bound of the overlap by
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.bitmaps import bitmap, column_lanes, marked
 from scriptorium.llm.common import settle, text_bytes
-from scriptorium.llm.simhash import components
+from scriptorium.llm.simhash import components, links, majority
 from scriptorium.session import new_path, run_folder
 
 WORDS = 5
@@ -119,7 +123,7 @@ def common_shingles(documents: DataFrame, sample: int = SAMPLE, seed: int = SEED
 
 
 def _rows(documents: DataFrame, seed: int) -> DataFrame:
-    """(doc_id, mark, key, proof, n, bits) of each row; a text met before in the task has no bits.
+    """(doc_id, mark, key, proof, n, bits, print) of each row; a text met before in the task has no bits and no print.
 
     ``proof`` is a second hash of the words.
     """
@@ -127,7 +131,7 @@ def _rows(documents: DataFrame, seed: int) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            keys, proofs, sizes, bits = [], [], [], []
+            keys, proofs, sizes, bits, prints = [], [], [], [], []
             for value in batch.column(2):
                 data = value.as_py()
                 key, shingles = shingles_of(data, seed=seed)
@@ -135,15 +139,16 @@ def _rows(documents: DataFrame, seed: int) -> DataFrame:
                 keys.append(key)
                 sizes.append(len(shingles))
                 bits.append(None if key in seen else bitmap_of(shingles))
+                prints.append(None if key in seen or not len(shingles) else int(np.uint64(majority(shingles.view(np.uint64))).astype(np.int64)))
                 seen.add(key)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(proofs, pa.int64()), pa.array(sizes, pa.int32()),
-                 pa.array(bits, pa.list_(pa.int64()))],
-                names=["doc_id", "mark", "key", "proof", "n", "bits"],
+                 pa.array(bits, pa.list_(pa.int64())), pa.array(prints, pa.int64())],
+                names=["doc_id", "mark", "key", "proof", "n", "bits", "print"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return _marked(documents).mapInArrow(run, f"doc_id {kind}, mark bigint, key bigint, proof bigint, n int, bits array<bigint>")
+    return _marked(documents).mapInArrow(run, f"doc_id {kind}, mark bigint, key bigint, proof bigint, n int, bits array<bigint>, print bigint")
 
 
 def _prefixes(documents: DataFrame, common: np.ndarray, counts: np.ndarray, seed: int, wanted: Broadcast | None = None) -> DataFrame:
@@ -232,17 +237,29 @@ def _buckets(documents: DataFrame, common: np.ndarray, counts: np.ndarray, seed:
     return members.join(chosen, "h", "left_semi")
 
 
+def _proposed(rows: DataFrame) -> DataFrame:
+    """(a, b) of keys whose fingerprints SimHash ties, and whose sizes fit; each is tied to one other of its fingerprint."""
+    known = rows.where("print is not null").select("key", "n", "print").distinct()
+    firsts = known.groupBy("print").agg(F.min(F.struct("key", "n")).alias("f")).select("print", F.col("f.key").alias("y"), F.col("f.n").alias("m"))
+    firsts = settle(firsts, "near-prints")
+    within = known.join(firsts, "print").where("key <> y").select(F.col("key").alias("x"), "n", "y", "m")
+    tied = links(firsts.select(F.col("print").alias("fingerprint")))
+    ends = (firsts.select(F.col("print").alias(p), F.col("y").alias(k), F.col("m").alias(c)) for p, k, c in (("fingerprint", "x", "n"), ("center", "y", "m")))
+    across = tied.join(next(ends), "fingerprint").join(next(ends), "center").select("x", "n", "y", "m")
+    return _pairs(within.unionByName(across).where(_sizes_fit(F.col("n"), F.col("m"))))
+
+
 def similar_texts(documents: DataFrame, rows: DataFrame, common: np.ndarray, counts: np.ndarray, seed: int = SEED) -> DataFrame:
     """(node, root) of each key that is similar enough to another, over all such pairs."""
     sizes = rows.where("bits is not null").select("key", "n").distinct()
     buckets = settle(_buckets(documents, common, counts, seed), "near-buckets")
     members = settle(buckets.join(sizes, "key"), "near-members")
 
-    def centers(ranks: range, known: DataFrame) -> DataFrame:
-        """Pairs of members with their bucket's centers, where those are of different components."""
+    def centers(ranks: range, known: DataFrame, compared: DataFrame | None = None) -> DataFrame:
+        """Pairs of members (or of those ``compared``) with their bucket's centers, where those are of different components."""
         ranked = (F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("rank"), "key", "n", "root")) for k in ranks)
         chosen = known.groupBy("h").agg(F.array_distinct(F.transform(F.array(*ranked), lambda c: F.struct(c["key"].alias("y"), c["n"].alias("m"), c["root"].alias("ry")))).alias("c"))
-        pairs = known.join(chosen, "h").select(F.col("key").alias("x"), "n", F.col("root").alias("rx"), F.inline("c"))
+        pairs = (known if compared is None else compared).join(chosen, "h").select(F.col("key").alias("x"), "n", F.col("root").alias("rx"), F.inline("c"))
         return _pairs(pairs.where((F.col("rx") != F.col("ry")) & _sizes_fit(F.col("n"), F.col("m"))))
 
     def rooted(ties: DataFrame, of: DataFrame) -> DataFrame:
@@ -257,9 +274,17 @@ def similar_texts(documents: DataFrame, rows: DataFrame, common: np.ndarray, cou
         return known.join(counted.where("k > 1").drop("k"), "h")
 
     few, many = CENTERS
-    tried = centers(range(few), members.withColumn("root", F.col("key")))
-    ties = settle(_verified(tried, rows, documents, "few", seed), "near-ties-few")
-    open_ = settle(unfinished(rooted(ties, members)), "near-open-few")
+    apart = members.withColumn("root", F.col("key"))
+    # A group of near copies lies in many buckets: one for each text ties most of it, with as many pairs as texts.
+    sized = members.join(members.groupBy("h").agg(F.count(F.lit(1)).alias("size")), "h")
+    led = sized.groupBy("key").agg(F.max_by(F.struct("h", "n"), F.struct("size", "h")).alias("of"))
+    led = led.select("of.h", "key", "of.n", F.col("key").alias("root"))
+    tried = _proposed(rows).unionByName(centers(range(few), apart, led)).distinct()
+    ties = settle(_verified(tried, rows, documents, "led", seed), "near-ties-led")
+    open_ = settle(unfinished(rooted(ties, members)), "near-open-led")
+    more = _verified(centers(range(few), open_), rows, documents, "few", seed)
+    ties = settle(ties.unionByName(more), "near-ties-few")
+    open_ = settle(unfinished(rooted(ties, open_.select("h", "key", "n"))), "near-open-few")
     more = _verified(centers(range(few, many), open_), rows, documents, "many", seed)
     ties = settle(ties.unionByName(more), "near-ties-many")
     open_ = settle(unfinished(rooted(ties, open_.select("h", "key", "n"))), "near-open-many")

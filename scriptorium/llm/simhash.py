@@ -45,7 +45,11 @@ def fingerprint_of(data: bytes, shingle: int = SHINGLE_WORDS, seed: int = SEED)
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(itertools.islice(words, k, None) for k in range(shingle)), strict=False))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     counts = np.zeros(BITS, np.int64)
     for start in range(0, len(hashes), 65536):  # bounded unpacking of very long texts
         block = hashes[start : start + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)

@@ -105,3 +105,34 @@ def test_bitmaps_bound_the_overlap_at_every_size(spark):
     got = table.select("i", _alone(F.col("x"), F.col("y")), _alone(F.col("y"), F.col("x"))).orderBy("i").collect()
     for (_, x, y), (p, q) in zip(got, want, strict=True):
         assert p * 0.4 <= x <= p and q * 0.4 <= y <= q  # never more than there are, and not far fewer
+
+
+def test_a_group_of_near_copies_is_compared_with_few(spark, monkeypatch):
+    """SimHash proposes, one bucket a text ties the group, and its many other buckets add no pairs."""
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        words[draw.randrange(len(words))] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted, verified = [], near_copies._verified
+
+    def counting(pairs, *rest):
+        counted.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_verified", counting)
+    assert near_copies.drop_near_copies(docs).count() == 1
+    assert sum(counted) <= 4 * len(texts)
+
+
+def test_simhash_proposes(spark):
+    """Sets with one fingerprint, or with two within two bits, are candidates."""
+    rows = spark.createDataFrame(
+        [(1, 10, 7), (2, 10, 7), (3, 10, 4), (4, 10, -1), (5, 100, 7), (6, 0, None)], "key long, n int, print long"
+    )
+    found = {tuple(r) for r in near_copies._proposed(rows).collect()}
+    assert (1, 2) in found and (1, 3) in found
+    assert not any(4 in p or 5 in p or 6 in p for p in found)
