@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.stopwords import ENGLISH_STOP_WORDS
 from scriptorium.operators import tfidf as TF
-from scriptorium.schema import Settings
+from scriptorium.plans import dataset
+from scriptorium.plans.training import training_tasks
+from scriptorium.schema import DEFAULTS, Settings
 
 TEXTS = {
     1: "the red fox and the red hen. red red red",
@@ -130,3 +133,21 @@ def test_combined_long_form(spark, terms):
     rows = {(r.id, r.feature): r.value for r in TF.combine_long(weights, numeric, "id", ["n"]).collect()}
     assert rows == {(1, "term:red"): 0.5, (1, "n"): 2.0, (2, "n"): 3.0}
     assert F is not None
+
+
+def test_weights_shuffle_the_documents_alone(spark):
+    """The counts are not shuffled: neither for the join with the vocabulary nor for a row's length."""
+    docs = spark.createDataFrame([(i, "red fox runs fast over the hill") for i in range(20)], "doc_id long, clean string")
+    dealt = dataset.partitioned(docs, replace(DEFAULTS, text_partitions=4), "doc_id")
+    counts = TF.term_counts(TF.with_terms(dealt), "doc_id")
+    vocab = spark.createDataFrame([("fox", 1.0), ("red fox", 1.5)], "term string, idf double")
+    plan = TF.tfidf(counts, vocab, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+def test_tasks_follow_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(100)
+    assert dataset.partitioned(docs, replace(DEFAULTS, text_partitions=2)).rdd.getNumPartitions() == 4 * cores
+    assert training_tasks(10**9, cores) == 3 * cores and training_tasks(2001, cores) == 2 and training_tasks(0, cores) == 1
