@@ -282,12 +282,18 @@ def similar_texts(documents: DataFrame, rows: DataFrame, common: np.ndarray, cou
     tried = _proposed(rows).unionByName(centers(range(few), apart, led)).distinct()
     ties = settle(_verified(tried, rows, documents, "led", seed), "near-ties-led")
     open_ = settle(unfinished(rooted(ties, members)), "near-open-led")
+    if open_.isEmpty():  # every bucket is one component: no pair is left
+        return components(ties, "a", "b")
     more = _verified(centers(range(few), open_), rows, documents, "few", seed)
     ties = settle(ties.unionByName(more), "near-ties-few")
     open_ = settle(unfinished(rooted(ties, open_.select("h", "key", "n"))), "near-open-few")
+    if open_.isEmpty():  # every bucket is one component: no pair is left
+        return components(ties, "a", "b")
     more = _verified(centers(range(few, many), open_), rows, documents, "many", seed)
     ties = settle(ties.unionByName(more), "near-ties-many")
     open_ = settle(unfinished(rooted(ties, open_.select("h", "key", "n"))), "near-open-many")
+    if open_.isEmpty():  # every bucket is one component: no pair is left
+        return components(ties, "a", "b")
     minor = open_.where("root <> major").select("h", F.col("key").alias("x"), "n", F.col("root").alias("rx"))
     every = open_.select("h", F.col("key").alias("y"), F.col("n").alias("m"), F.col("root").alias("ry"), "major")
     crossed = minor.join(every, "h").where(
