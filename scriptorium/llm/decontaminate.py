@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import pieces, settle, text_bytes
+from scriptorium.llm.common import pieces, settle, slices, text_bytes
 
 WINDOW_WORDS = 10
 BLOCK_WINDOWS = 500_000
+PIECE_BYTES = 1 << 20  # of text cut into words at once, which takes some fifty times as much memory
 BLOCK_BYTES = 128 << 20  # of windows and representatives: words have no length limit
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd: it has an inverse modulo 2^64
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -107,9 +108,9 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataF
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, out, lengths, names = batch.column(0).to_pylist(), [], [], []
-            for at, part in pieces(batch.column(1).to_pylist()):
+            for at, part in pieces(batch.column(1).to_pylist(), PIECE_BYTES):
                 words = Words(part)
                 counts = np.bincount(words.doc, minlength=len(part))
                 ends = np.cumsum(counts)
@@ -180,10 +181,10 @@ def _scan(documents: DataFrame, block) -> DataFrame:
 
     def run(batches):
         held = block.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             counts, hits, found = np.zeros(len(texts), np.int64), [[] for _ in texts], [[] for _ in texts]
-            for at, part in pieces(texts):
+            for at, part in pieces(texts, PIECE_BYTES):
                 words = Words(part)
                 n = np.bincount(words.doc, minlength=len(part))
                 counts[at : at + len(part)] = n

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.bitmaps import bitmap, column_lanes, marked
-from scriptorium.llm.common import settle, text_bytes
+from scriptorium.llm.common import settle, slices, text_bytes
 from scriptorium.llm.simhash import components, links, majority
 from scriptorium.session import new_path, run_folder
 
@@ -94,7 +94,7 @@ def _sets(texts: DataFrame, seed: int, wanted: Broadcast | None = None) -> DataF
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             found, values = {}, batch.column(0)
             if wanted:
                 hits = marked(wanted.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
@@ -130,7 +130,7 @@ def _rows(documents: DataFrame, seed: int) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, proofs, sizes, bits, prints = [], [], [], [], []
             for value in batch.column(2):
                 data = value.as_py()
@@ -159,7 +159,7 @@ def _prefixes(documents: DataFrame, common: np.ndarray, counts: np.ndarray, seed
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, prefixes = [], []
             for value in batch.column(0):
                 key, shingles = shingles_of(value.as_py(), seed=seed)
@@ -214,6 +214,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, name: str
     near = bitmap(column_lanes(marks, "mark"))
     sets = _sets(_marked(documents), seed, near).join(wanted, "key", "left_semi").dropDuplicates(["key"])
     sets = settle(sets, f"near-sets-{name}")
+    near.destroy()
     left, right = (sets.select(F.col("key").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     overlap = F.size(F.array_intersect("set_a", "set_b"))
     return likely.join(left, "a").join(right, "b").where(_enough(overlap, F.size("set_a"), F.size("set_b"))).select("a", "b")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 
 from scriptorium.llm.common import read_table
@@ -89,3 +90,34 @@ def test_blocks_are_bounded_by_bytes(spark, odd):
     docs, items = odd
     whole = sorted(map(tuple, find_contamination(docs, items).drop("key").collect()), key=str)
     assert sorted(map(tuple, find_contamination(docs, items, block_bytes=100).drop("key").collect()), key=str) == whole
+
+
+def test_scanned_in_small_parts(spark, monkeypatch):
+    """Texts are cut into words by the megabyte and the thousand rows: a whole batch at once took an executor's memory."""
+    from scriptorium.llm import common, decontaminate
+
+    sizes = []
+
+    class Seen(decontaminate.Words):
+        def __init__(self, texts):
+            sizes.append(sum(map(len, texts)))
+            super().__init__(texts)
+
+    monkeypatch.setattr(decontaminate, "Words", Seen)
+    batch = pa.RecordBatch.from_pydict({"item": [str(k) for k in range(2500)], "data": [b"some words " * 100] * 2500})
+    found = {}
+
+    class Table:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            found["rows"] = sum(b.num_rows for b in run([batch]))
+            return self
+
+        def distinct(self):
+            return self
+
+    decontaminate.benchmark_windows(Table())
+    assert found["rows"] == 2500 * 191 and max(sizes) <= decontaminate.PIECE_BYTES + 1100
+    assert [b.num_rows for b in common.slices([batch])] == [1000, 1000, 500]
