@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.catalog import training_runs
-from scriptorium.catalog.training_runs import SETTINGS, compared, corpus, movies, scorer, training, training_result, written_corpus, written_manifest, written_model
+from scriptorium.catalog.training_runs import SETTINGS, compared, corpus, manifest, movies, scorer, training, training_result, written_corpus, written_manifest, written_model
 from scriptorium.catalog.views import table, view
 from scriptorium.functions import coerce as C
 from scriptorium.functions import rating as R
@@ -124,7 +124,7 @@ def decode_text(spark, sf_dir):
 @query
 def write_split_manifest(spark, sf_dir):
     path = new_path(spark, "manifest")
-    SM.write_split_manifest(training(spark, sf_dir).manifest, path)
+    SM.write_split_manifest(manifest(spark, sf_dir), path)
     documents = spark.read.parquet(f"{path}/documents")
     return documents.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.catalog.views import view
+from scriptorium.operators.split import train_test_split
 from scriptorium.plans.dataset import load_dataset, partitioned
 from scriptorium.plans.model_store import load_model, save_model
 from scriptorium.plans.models import MODEL_ORDER, REFERENCE_CONFIG, RIDGE
 from scriptorium.plans.scoring import ScoringModel
-from scriptorium.plans.training import TrainingData, TrainingResult, compare_models, prepare_training, train_models
+from scriptorium.plans.training import TrainingData, TrainingResult, compare_models, prepare_training, split_manifest, train_models
 from scriptorium.schema import DEFAULTS
 from scriptorium.session import new_path
 from scriptorium.catalog.text_files import write_corpus
@@ -70,10 +71,16 @@ def training_result(spark: SparkSession, sf_dir: str) -> TrainingResult:
     return compared(spark, sf_dir, *MODEL_ORDER)
 
 
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sides of all loaded documents. It needs their metadata and lengths alone, so nothing is trained for it."""
+    loaded = load_dataset(movies(spark, sf_dir), corpus(spark, sf_dir), SETTINGS).select("file_name", "movie_name", "rating")
+    return split_manifest(train_test_split(loaded, "file_name", SETTINGS))
+
+
 def written_manifest(spark: SparkSession, sf_dir: str) -> str:
     def make():
         path = new_path(spark, "manifest")
-        write_split_manifest(training(spark, sf_dir).manifest, path)
+        write_split_manifest(manifest(spark, sf_dir), path)
         return path
 
     return _once(spark, sf_dir, "manifest", make)

@@ -59,6 +59,11 @@ def fit_featurizer(train: DataFrame, decades: DataFrame, key: str, settings: Set
     return Featurizer(fit_tfidf(terms, key, settings), fit_scaler(train, NUMERIC_FEATURES), decades)
 
 
+def split_manifest(documents: DataFrame) -> DataFrame:
+    """Which document is on which side. Of a load that is not written yet, no text is cleaned for it."""
+    return documents.select(F.col("file_name").alias("script_file"), "movie_name", "rating", "split")
+
+
 @dataclass
 class TrainingData:
     """Feature tables of both sides, written once for all models."""
@@ -89,7 +94,7 @@ def prepare_training(
     weighted = sample_weights(encoded, fit_on=train)
     columns = ["doc_key", "file_name", "movie_name", "split", F.col("rating").alias("label"), "weight", "features"]
     features = settle(featurizer.transform(weighted).select(*columns), "features", "split")
-    manifest = documents.select(F.col("file_name").alias("script_file"), "movie_name", "rating", "split")
+    manifest = split_manifest(documents)
     fitted = features.where(F.col("split") == "train")
     return TrainingData(fitted.coalesce(training_tasks(fitted.count(), fitted.sparkSession.sparkContext.defaultParallelism)), features.where(F.col("split") == "test"), manifest, featurizer)
 
