@@ -10,7 +10,11 @@ SimHash proposes first: fingerprints over the same shingles, within the operator
 by its covering tables. Two bits are far narrower than 0.8, so the join finds the rest.
 
 Texts that share a prefix shingle form a bucket; of buckets with the same members one is
-enough. Buckets are not paired in full: every text is first compared with two centers of
+enough, that of the first shingle in the order. A shingle's place bounds the overlap: if it is
+the first that two texts share, they share no more than either has from there on. So a text
+stays in a bucket only if its place leaves enough for the smallest member, and a pair needs
+that on both sides. Texts of one origin that were changed too much to be similar have their
+rare shingles first, and leave the buckets of those they have in common. Buckets are not paired in full: every text is first compared with two centers of
 its largest bucket, and so is every member of a bucket that this leaves in several
 components, with ten centers more if need be, which joins the members of a group
 of near copies; then only members of different components are paired, those outside of
@@ -152,26 +156,29 @@ def _rows(documents: DataFrame, seed: int) -> DataFrame:
 
 
 def _prefixes(documents: DataFrame, common: np.ndarray, counts: np.ndarray, seed: int, wanted: Broadcast | None = None) -> DataFrame:
-    """(h, key) of each prefix shingle of each distinct text of a task's rows; read anew from the texts, not stored.
+    """(h, key, p) of each prefix shingle of each distinct text of a task's rows; read anew from the texts, not stored.
 
-    Of ``wanted``, if given, only shingles whose bit is set.
+    ``p`` is the shingle's place among those of its text. Of ``wanted``, if given, only shingles whose bit is set.
     """
 
     def run(batches):
         seen: set[int] = set()
         for batch in slices(batches):
-            keys, prefixes = [], []
+            keys, prefixes, places = [], [], []
             for value in batch.column(0):
                 key, shingles = shingles_of(value.as_py(), seed=seed)
                 if key not in seen:
                     seen.add(key)
                     found = prefix_of(shingles, common, counts)
-                    prefixes.append(found[marked(wanted.value, found.view(np.uint64))] if wanted else found)
-                    keys.append(np.full(len(prefixes[-1]), key, np.int64))
+                    at = np.flatnonzero(marked(wanted.value, found.view(np.uint64))) if wanted else np.arange(len(found))
+                    prefixes.append(found[at])
+                    places.append(at.astype(np.int32))
+                    keys.append(np.full(len(at), key, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(np.concatenate(keys))], names=["h", "key"])
+                columns = [pa.array(np.concatenate(c)) for c in (prefixes, keys, places)]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "p"])
 
-    return documents.select(text_bytes().alias("data")).mapInArrow(run, "h bigint, key bigint")
+    return documents.select(text_bytes().alias("data")).mapInArrow(run, "h bigint, key bigint, p int")
 
 
 def _enough(overlap: Column, n: Column, m: Column) -> Column:
@@ -197,6 +204,11 @@ def _alone(x: Column, y: Column) -> Column:
     return F.aggregate(only, F.lit(0), lambda s, k: s + k)
 
 
+def _bits_fit(n: Column, x: Column, m: Column, y: Column) -> Column:
+    """Whether bitmaps leave enough in common: a bit that only one side has stands for at least one shingle that only it has."""
+    return _enough(F.least(n - _alone(x, y), m - _alone(y, x)), n, m)
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, name: str, seed: int) -> DataFrame:
     """The (a, b) among ``pairs``, of sizes that fit, that are similar enough."""
     pairs = settle(pairs, f"near-pairs-{name}")
@@ -204,10 +216,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, name: str
     known = rows.where("bits is not null").select("key", "n", "bits").join(paired, "key", "left_semi").dropDuplicates(["key"])
     left = known.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = known.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    # A bit that only one side has stands for at least one shingle that only it has.
-    most = F.least(F.col("na") - _alone(F.col("bits_a"), F.col("bits_b")), F.col("nb") - _alone(F.col("bits_b"), F.col("bits_a")))
     likely = settle(
-        pairs.join(left, "a").join(right, "b").where(_enough(most, F.col("na"), F.col("nb"))).select("a", "b"), f"near-likely-{name}"
+        pairs.join(left, "a").join(right, "b").where(_bits_fit(F.col("na"), F.col("bits_a"), F.col("nb"), F.col("bits_b"))).select("a", "b"),
+        f"near-likely-{name}",
     )
     wanted = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
     marks = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("mark").alias("mark")).select("mark").distinct()
@@ -225,15 +236,17 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def _buckets(documents: DataFrame, common: np.ndarray, counts: np.ndarray, seed: int) -> DataFrame:
-    """(h, key) of the shingles that several texts share, one shingle for each set of members.
+    """(h, key, p) of the shingles that several texts share, one shingle for each set of members: the first in the order.
 
     The texts are read twice: first to learn which shingles are shared, then for the
     members of those alone, as most shingles are not.
     """
     first = _prefixes(documents, common, counts, seed).repartition("h").distinct()
     seal = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"s{k}") for k in (1, 2)]  # of the members, whatever their order
-    sealed = first.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), *seal)
-    chosen = settle(sealed.where("n > 1").groupBy("n", "low", "high", "s1", "s2").agg(F.min("h").alias("h")).select("h"), "near-shared")
+    sealed = first.groupBy("h").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.min_by("p", "key").alias("p"), F.max("key").alias("high"), *seal
+    )
+    chosen = settle(sealed.where("n > 1").groupBy("n", "low", "high", "s1", "s2").agg(F.min_by("h", "p").alias("h")).select("h"), "near-shared")
     members = _prefixes(documents, common, counts, seed, bitmap(column_lanes(chosen, "h"))).distinct()
     return members.join(chosen, "h", "left_semi")
 
@@ -254,7 +267,10 @@ def similar_texts(documents: DataFrame, rows: DataFrame, common: np.ndarray, cou
     """(node, root) of each key that is similar enough to another, over all such pairs."""
     sizes = rows.where("bits is not null").select("key", "n").distinct()
     buckets = settle(_buckets(documents, common, counts, seed), "near-buckets")
-    members = settle(buckets.join(sizes, "key"), "near-members")
+    wide = settle(buckets.join(sizes, "key"), "near-wide")
+    smallest = wide.groupBy("h").agg(F.min("n").alias("m"))
+    fits = _enough(F.col("n") - F.col("p"), F.col("n"), F.col("m"))
+    members = settle(wide.join(smallest, "h").where(fits).select("h", "key", "n", "p"), "near-members")
 
     def centers(ranks: range, known: DataFrame, compared: DataFrame | None = None) -> DataFrame:
         """Pairs of members (or of those ``compared``) with their bucket's centers, where those are of different components."""
@@ -265,7 +281,7 @@ def similar_texts(documents: DataFrame, rows: DataFrame, common: np.ndarray, cou
 
     def rooted(ties: DataFrame, of: DataFrame) -> DataFrame:
         roots = components(ties, "a", "b").withColumnsRenamed({"node": "key"})
-        return of.join(roots, "key", "left").select("h", "key", "n", F.coalesce("root", "key").alias("root"))
+        return of.join(roots, "key", "left").select("h", "key", "n", "p", F.coalesce("root", "key").alias("root"))
 
     def unfinished(known: DataFrame) -> DataFrame:
         """Members of the buckets with several components, and the largest of those."""
@@ -287,18 +303,25 @@ def similar_texts(documents: DataFrame, rows: DataFrame, common: np.ndarray, cou
         return components(ties, "a", "b")
     more = _verified(centers(range(few), open_), rows, documents, "few", seed)
     ties = settle(ties.unionByName(more), "near-ties-few")
-    open_ = settle(unfinished(rooted(ties, open_.select("h", "key", "n"))), "near-open-few")
+    open_ = settle(unfinished(rooted(ties, open_.select("h", "key", "n", "p"))), "near-open-few")
     if open_.isEmpty():  # every bucket is one component: no pair is left
         return components(ties, "a", "b")
     more = _verified(centers(range(few, many), open_), rows, documents, "many", seed)
     ties = settle(ties.unionByName(more), "near-ties-many")
-    open_ = settle(unfinished(rooted(ties, open_.select("h", "key", "n"))), "near-open-many")
+    open_ = settle(unfinished(rooted(ties, open_.select("h", "key", "n", "p"))), "near-open-many")
     if open_.isEmpty():  # every bucket is one component: no pair is left
         return components(ties, "a", "b")
-    minor = open_.where("root <> major").select("h", F.col("key").alias("x"), "n", F.col("root").alias("rx"))
-    every = open_.select("h", F.col("key").alias("y"), F.col("n").alias("m"), F.col("root").alias("ry"), "major")
+    # Bitmaps are compared in the join itself, so only pairs that may be similar are rows.
+    held = rows.where("bits is not null").select("key", "bits").join(open_.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    full = open_.join(held, "key")
+    minor = full.where("root <> major").select("h", F.col("key").alias("x"), "n", "p", "bits", F.col("root").alias("rx"))
+    every = full.select(
+        "h", F.col("key").alias("y"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("bits").alias("bits_y"), F.col("root").alias("ry"), "major"
+    )
+    n, m = F.col("n"), F.col("m")
     crossed = minor.join(every, "h").where(
-        (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("major")) | (F.col("x") < F.col("y"))) & _sizes_fit(F.col("n"), F.col("m"))
+        (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("major")) | (F.col("x") < F.col("y"))) & _sizes_fit(n, m)
+        & _enough(F.least(n - F.col("p"), m - F.col("q")), n, m) & _bits_fit(n, F.col("bits"), m, F.col("bits_y"))
     )
     return components(ties.unionByName(_verified(_pairs(crossed), rows, documents, "crossed", seed)), "a", "b")
 

@@ -128,6 +128,29 @@ def test_a_group_of_near_copies_is_compared_with_few(spark, monkeypatch):
     assert sum(counted) <= 4 * len(texts)
 
 
+def test_texts_of_one_origin_that_are_not_similar_are_not_paired(spark, monkeypatch):
+    """Most of their shingles are the same, but the pairs among them are as the square of their number."""
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in draw.sample(range(len(words)), 1 if i % 2 else 6):
+            words[at] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted, verified = [], near_copies._verified
+
+    def counting(pairs, *rest):
+        counted.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_verified", counting)
+    # the order knows all shingles here, as a sample does of those of a large group
+    assert sorted(r[0] for r in near_copies.drop_near_copies(docs, sample=1).collect()) == brute_kept(rows)
+    assert sum(counted) <= 8 * len(rows)  # 60 * 60 / 2 and 60 * 60 pairs in full
+
+
 def test_simhash_proposes(spark):
     """Sets with one fingerprint, or with two within two bits, are candidates."""
     rows = spark.createDataFrame(
