@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 from dataclasses import replace
 
@@ -151,3 +152,22 @@ def test_tasks_follow_the_cores(spark):
     docs = spark.range(100)
     assert dataset.partitioned(docs, replace(DEFAULTS, text_partitions=2)).rdd.getNumPartitions() == 4 * cores
     assert training_tasks(10**9, cores) == 3 * cores and training_tasks(2001, cores) == 2 and training_tasks(0, cores) == 1
+
+
+def test_only_terms_of_leading_words_are_counted(spark, monkeypatch):
+    """The vocabulary is that of all terms; bigrams of rarer words are not counted, and none is made over a gap."""
+    draw = random.Random(1)
+    texts = [" ".join(f"w{min(int(draw.expovariate(0.1)), 99)}x" for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, clean string")
+    settings = replace(SMALL, max_features=20, min_df=2, max_df=0.9)
+    counts = TF.term_counts(TF.with_terms(docs), "id")
+    want = TF.vocabulary(counts, len(texts), settings).collect()
+    counted, vocabulary = [], TF.vocabulary
+
+    def counting(found, *rest):
+        counted.append(found.count())
+        return vocabulary(found, *rest)
+
+    monkeypatch.setattr(TF, "vocabulary", counting)
+    assert sorted(TF.fit_vocabulary(docs, "id", settings).collect()) == sorted(want)
+    assert counted[0] < 0.9 * counts.count()
